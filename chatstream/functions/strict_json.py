@@ -6,6 +6,9 @@ trailing text can satisfy at once, and every field is read as a VARIANT so its
 JSON type can be tested. Keys match without regard to case and the last
 non-null occurrence wins, but each occurrence must have the right type.
 
+The parse results are plain columns, not one struct: the optimizer inlines a
+struct into each of its readers and would parse again for every field.
+
 Known gap: a row that has both a case-folded (or repeated) key and an unrelated
 field whose nested object repeats a key counts as malformed.
 """
@@ -15,65 +18,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatstream.functions.pinning import pinned
+
 _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 _ZERO_TIME = "0001-01-01T00:00:00Z"
+_FOLDED = "lower(translate({k}, 'ſ', 's'))"
+
+#: Helper columns that ``with_parsed`` adds.
+PARSED = ["_listed", "_held", "_null_literal", "_plain"]
 
 
 def with_parsed(df: DataFrame, text: str, fields: list[str]) -> DataFrame:
-    """Add ``_json``: the parse results that the readers below work on."""
+    """Add the parse results that the readers below work on.
+
+    ``_plain`` says that every key which folds to one of the fields is spelled
+    exactly and occurs once, so the struct decode has the answer.
+    """
     v = F.col(text)
     variants = ", ".join(f"{f}: variant" for f in fields)
-    return df.withColumn(
-        "_json",
-        F.struct(
-            F.from_json(F.concat(F.lit("["), v, F.lit("]")), f"array<struct<{variants}>>", _OPTIONS).alias("listed"),
-            F.from_json(F.concat(F.lit('{"p":'), v, F.lit("}")), f"struct<p: struct<{variants}>>", _OPTIONS).alias("held"),
-            F.json_object_keys(v).alias("keys"),
-            (F.regexp_replace(v, r"^[ \t\r\n]+|[ \t\r\n]+$", "") == "null").alias("null_literal"),
-        ),
+    texts = ", ".join(f"{f}: string" for f in fields)
+    names = ", ".join(f"'{f}'" for f in fields)
+    return (
+        df.withColumns(
+            {
+                "_listed": pinned(F.from_json(F.concat(F.lit("["), v, F.lit("]")), f"array<struct<{texts}>>", _OPTIONS)),
+                "_held": pinned(F.from_json(F.concat(F.lit('{"p":'), v, F.lit("}")), f"struct<p: struct<{variants}>>", _OPTIONS)),
+                "_null_literal": F.regexp_replace(v, r"^[ \t\r\n]+|[ \t\r\n]+$", "") == "null",
+                "_keys": pinned(F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))),
+            }
+        )
+        .withColumn(
+            "_plain",
+            pinned(
+                F.expr(
+                    f"size(filter(_keys, k -> {_FOLDED.format(k='k')} IN ({names}))) = "
+                    f"size(array_intersect(_keys, array({names})))"
+                )
+            ),
+        )
+        .drop("_keys")
     )
 
 
 def shape_ok() -> Column:
     """One JSON object (or the literal ``null``) and nothing else."""
-    return F.coalesce(
-        F.expr("_json.null_literal OR (size(_json.listed) = 1 AND _json.held.p IS NOT NULL)"), F.lit(False)
-    )
-
-
-def _folded(key: str) -> str:
-    return f"lower(translate({key}, 'ſ', 's'))"
-
-
-def _plain(field: str) -> str:
-    """The only key that folds to the field name is the exact name, or none does."""
-    hits = f"filter(coalesce(_json.keys, array()), k -> {_folded('k')} = '{field}')"
-    return f"(size({hits}) = 0 OR (size({hits}) = 1 AND get({hits}, 0) = '{field}'))"
+    return F.coalesce(F.expr("_null_literal OR (size(_listed) = 1 AND _held.p IS NOT NULL)"), F.lit(False))
 
 
 def _entries(text: str, field: str) -> str:
     options = ", ".join(f"'{k}', '{v}'" for k, v in _OPTIONS.items())
     decoded = f"from_json({text}, 'map<string, variant>', map({options}))"
-    return f"filter(map_entries({decoded}), e -> {_folded('e.key')} = '{field}')"
+    return f"filter(map_entries({decoded}), e -> {_FOLDED.format(k='e.key')} = '{field}')"
 
 
 def field_types_ok(text: str, field: str, allowed: list[str]) -> Column:
     """Every occurrence of the field is null or has one of the allowed types."""
     types = ", ".join(f"'{t}'" for t in [*allowed, "VOID"])
     return F.expr(
-        f"CASE WHEN {_plain(field)} THEN coalesce(schema_of_variant(_json.held.p.{field}), 'VOID') IN ({types}) "
+        f"CASE WHEN _plain THEN coalesce(schema_of_variant(_held.p.{field}), 'VOID') IN ({types}) "
         f"ELSE coalesce(forall({_entries(text, field)}, e -> schema_of_variant(e.value) IN ({types})), false) END"
     )
 
 
 def string_field(text: str, field: str) -> Column:
     """Value of a string field; NULL when absent or JSON null."""
-    last = f"element_at(filter({_entries(text, field)}, e -> schema_of_variant(e.value) <> 'VOID'), -1)"
-    listed = f"filter({_entries(text, field)}, e -> schema_of_variant(e.value) <> 'VOID')"
+    given = f"filter({_entries(text, field)}, e -> schema_of_variant(e.value) <> 'VOID')"
     return F.expr(
-        f"CASE WHEN {_plain(field)} THEN try_variant_get(_json.held.p.{field}, '$', 'string') "
-        f"WHEN size({listed}) > 0 THEN try_variant_get({last}.value, '$', 'string') END"
+        f"CASE WHEN _plain THEN try_variant_get(_held.p.{field}, '$', 'string') "
+        f"WHEN size({given}) > 0 THEN try_variant_get(element_at({given}, -1).value, '$', 'string') END"
     )
 
 
@@ -81,15 +94,12 @@ def uint64_field(text: str, field: str) -> tuple[Column, Column]:
     """(is legal, value): digits only, at most 2^64 - 1; absent or null reads as 0."""
     # VARIANT turns 1.0 into a decimal without its fraction, so the raw text decides.
     raw = (
-        f"CASE WHEN {_plain(field)} THEN from_json({text}, 'struct<{field}: string>').{field} "
+        f"CASE WHEN _plain THEN get(_listed, 0).{field} "
         f"ELSE element_at(filter(map_entries(from_json({text}, 'map<string, string>')), "
-        f"e -> {_folded('e.key')} = '{field}' AND e.value IS NOT NULL), -1).value END"
+        f"e -> {_FOLDED.format(k='e.key')} = '{field}' AND e.value IS NOT NULL), -1).value END"
     )
     value = f"try_cast(({raw}) AS decimal(20,0))"
-    legal = (
-        f"({raw}) IS NULL OR (({raw}) RLIKE '^[0-9]+$' "
-        f"AND coalesce({value} <= 18446744073709551615BD, false))"
-    )
+    legal = f"({raw}) IS NULL OR (({raw}) RLIKE '^[0-9]+$' AND coalesce({value} <= 18446744073709551615BD, false))"
     types = field_types_ok(text, field, ["BIGINT", "DECIMAL(20,0)", "DECIMAL(19,0)"])
     return F.expr(legal) & types, F.coalesce(F.expr(value), F.lit(0).cast("decimal(20,0)"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.functions import strict_json as J
+from chatstream.functions.pinning import pinned
 from chatstream.functions.text import is_blank
 
 FIELDS = ["message_id", "room_id", "user_id", "content", "sequence", "created_at"]
@@ -74,20 +75,20 @@ def decode(records: DataFrame) -> DataFrame:
         strings_ok = strings_ok & J.field_types_ok("value", name, ["STRING"])
     created_ok, created = J.instant(F.col("_created"))
     typed = (
-        parsed.withColumn("_strings_ok", strings_ok)
-        .withColumn("_created", F.when(F.col("_strings_ok"), J.string_field("value", "created_at")))
-        .withColumn("_ok", F.col("_strings_ok") & sequence_ok & created_ok)
+        parsed.withColumn("_strings_ok", pinned(strings_ok))
+        .withColumn("_created", pinned(F.when(F.col("_strings_ok"), J.string_field("value", "created_at"))))
+        .withColumn("_ok", pinned(F.col("_strings_ok") & sequence_ok & created_ok))
     )
     read = typed.select(
         *records.columns,
         "_ok",
-        *[F.when(F.col("_ok"), J.string_field("value", name)).alias(name) for name in _REQUIRED_TEXT],
-        F.when(F.col("_ok"), sequence).alias("sequence"),
-        F.when(F.col("_ok"), created).alias("created_at"),
+        *[pinned(F.when(F.col("_ok"), J.string_field("value", name))).alias(name) for name in _REQUIRED_TEXT],
+        pinned(F.when(F.col("_ok"), sequence)).alias("sequence"),
+        pinned(F.when(F.col("_ok"), created)).alias("created_at"),
     )
     code = F.when(F.col("_ok"), invalid_code())
     return (
-        read.withColumn("invalid_code", code)
+        read.withColumn("invalid_code", pinned(code))
         .withColumn("error_class", F.when(~F.col("_ok"), "malformed").when(F.col("invalid_code").isNotNull(), "invalid"))
         .drop("_ok")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatstream import schema as S
 from chatstream.functions import strict_json as J
+from chatstream.functions.pinning import pinned
 from chatstream.functions.text import first_match, is_blank, trim_space
 
 
@@ -23,8 +24,8 @@ def moderate(
     """
     parsed = (
         J.with_parsed(frames, "payload", ["content"])
-        .withColumn("_decodes", J.shape_ok() & J.field_types_ok("payload", "content", ["STRING"]))
-        .withColumn("content", F.when(F.col("_decodes"), J.string_field("payload", "content")))
+        .withColumn("_decodes", pinned(J.shape_ok() & J.field_types_ok("payload", "content", ["STRING"])))
+        .withColumn("content", pinned(F.when(F.col("_decodes"), J.string_field("payload", "content"))))
         .withColumn("matched_word", first_match(F.col("content"), dictionary))
     )
     reason = (
@@ -35,9 +36,9 @@ def moderate(
         .when(F.col("matched_word").isNotNull(), "sensitive_content")
     )
     return (
-        parsed.withColumn("reject_reason", reason)
+        parsed.withColumn("reject_reason", pinned(reason))
         .withColumn("matched_word", F.when(F.col("reject_reason") == "sensitive_content", F.col("matched_word")))
-        .drop("_json", "_decodes")
+        .drop(*J.PARSED, "_decodes")
     )
 
 

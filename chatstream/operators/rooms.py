@@ -107,9 +107,14 @@ def room_sequence(messages: DataFrame, offsets_per_slice: int = OFFSETS_PER_SLIC
     return numbered.drop("_one")
 
 
-def fanout(messages: DataFrame, intervals: DataFrame, slice_us: int = HOUR_US) -> DataFrame:
+def fanout(
+    messages: DataFrame, intervals: DataFrame, slice_us: int = HOUR_US, times: DataFrame | None = None
+) -> DataFrame:
     """One row per message and member present at that moment, the sender included.
 
+    ``times`` is any table whose ``t_us`` covers the messages' time range; give
+    the stored table when ``messages`` is costly to compute a second time.
+
     Stays are laid out over time slices, so the join key is (room, slice) and a
     busy room is spread over as many tasks as it has slices; a slice that is
     still too large is split by adaptive execution.
@@ -117,8 +122,9 @@ def fanout(messages: DataFrame, intervals: DataFrame, slice_us: int = HOUR_US) -
     def slice_no(c):
         return F.floor(c / F.lit(slice_us)).cast("bigint")
 
-    span = messages.agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"))
-    first, last = span.select("first").scalar(), span.select("last").scalar()
+    covering = messages if times is None else times
+    span = covering.agg(F.struct(F.min("t_us").alias("first"), F.max("t_us").alias("last"))).scalar()
+    first, last = span.getField("first"), span.getField("last")
     stays = (
         intervals.select("room_id", F.col("user_id").alias("member_id"), "joined_at", "left_at")
         .withColumn("_from", F.greatest(slice_no(F.col("joined_at")), slice_no(first)))
