@@ -118,9 +118,16 @@ def access_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def liveness_timeouts(pongs: DataFrame, timeout_us: int = PONG_TIMEOUT_US, spread: Spread = HOT) -> DataFrame:
-    """Silences longer than the timeout: when the connection was last heard and given up."""
-    seen = running(pongs, ["conn_id"], "t_us", ["t_us", "event_id"], Running(prev={"last_us": "t_us"}), spread)
-    return seen.where(F.col("t_us") - F.col("last_us") > timeout_us).select(
-        "conn_id", "event_id", "last_us", (F.col("last_us") + timeout_us).alias("timed_out_us")
+def liveness_timeouts(
+    pongs: DataFrame, timeout_us: int = PONG_TIMEOUT_US, until_us: int | None = None, spread: Spread = HOT
+) -> DataFrame:
+    """Silences longer than the timeout: the last sign of life and when the connection was given up.
+
+    The silence after a connection's very last sign is reported when ``until_us``,
+    the instant up to which the log is complete, is given.
+    """
+    seen = running(pongs, ["conn_id"], "t_us", ["t_us", "event_id"], Running(next={"_heard": "t_us"}), spread)
+    heard = F.col("_heard") if until_us is None else F.coalesce("_heard", F.lit(until_us))
+    return seen.where(heard - F.col("t_us") > timeout_us).select(
+        "conn_id", "event_id", F.col("t_us").alias("last_us"), (F.col("t_us") + timeout_us).alias("timed_out_us")
     )

@@ -390,7 +390,37 @@ from (select value, '/' || event_type as path, case event_type when 'error' then
   case event_type when 'error' then 'error' when 'purchase' then 'warn' else 'info' end as level from events) group by level, path, status""",
     "liveness_timeouts": _with(
         ["pongs"],
-        f"""select conn_id, event_id, last_us, last_us + {Q.SILENCE_US} as timed_out_us from (
-  select *, lag(t_us) over (partition by conn_id order by t_us, event_id) as last_us from pongs) where t_us - last_us > {Q.SILENCE_US}""",
+        f"""select conn_id, event_id, t_us as last_us, t_us + {Q.SILENCE_US} as timed_out_us from (
+  select *, lead(t_us) over (partition by conn_id order by t_us, event_id) as heard from pongs) where heard - t_us > {Q.SILENCE_US}""",
+    ),
+}
+
+# Streams must give what their batch forms give.
+ORACLE |= {
+    "stream_ingest": """select cast(((user_id + event_id) % 10) % 3 as int) as part, event_id as off,
+  case when kind is null then 'valid' else 'poison' end as record_class,
+  case when kind in ('not-json', 'number') then 'malformed' when kind is not null then 'invalid' end as error_class,
+  case kind when 'user' then 'empty_user_id' when 'content' then 'empty_content' when 'created' then 'empty_created_at' end as invalid_code,
+  case when kind is null then 'm-' || event_id when kind = 'user' then 'poison' when kind in ('content', 'created') then 'm' end as message_id,
+  case when kind is null then 'room-' || (user_id + event_id) % 10 when kind = 'user' then 'room-1' when kind in ('content', 'created') then 'r' end as room_id
+from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103 = 0 then 'user' when event_id % 107 = 0 then 'number'
+  when event_id % 109 = 0 then 'content' when event_id % 113 = 0 then 'created' end as kind from events)""",
+    "stream_rate_limit": ORACLE["rate_limit"],
+    "stream_sequence": _with(["messages"], "select room_id, event_id, row_number() over (partition by room_id order by off) as sequence from messages"),
+    "stream_rooms": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
+    "stream_leases": ORACLE["route_lookup"],
+    "stream_liveness": _with(
+        ["pongs"],
+        f"""select conn_id, event_id, t_us as last_us, t_us + {Q.SILENCE_US} as timed_out_us from (
+  select *, lead(t_us) over (partition by conn_id order by t_us, event_id) as heard from pongs) where heard is null or heard - t_us > {Q.SILENCE_US}""",
+    ),
+    "stream_dedup": "select event_id, 'm-' || event_id as message_id from events where event_id % 23 <> 0",
+    "stream_echo": _with(
+        ["sent", "received_echo"], _ECHO,
+        """select s.event_id, s.user_id, e.received_ns - e.sent_ns as latency_ns from sent s join echoes e on e.user_id = s.user_id and e.content = s.content""",
+    ),
+    "stream_metrics": _with(
+        ["frames"], _MODERATED,
+        """select t_us - t_us % 60000000 as from_us, coalesce(reject_reason, 'accepted') as reason, count(*) as frames from moderated group by all""",
     ),
 }

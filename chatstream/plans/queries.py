@@ -14,7 +14,10 @@ from chatstream.functions.urls import valid_lease
 from chatstream.operators import delivery, envelope, metrics, moderation, ownership, ratelimit, rooms, routing
 from chatstream.plans import flow
 from chatstream.plans.views import spark_view
-from chatstream.session import configure
+from chatstream.schema import ECHO_PREFIX
+from chatstream.session import configure, shared_dir
+from chatstream.streaming import operators as streams
+from chatstream.streaming.run import consume, read_files, split_log, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,3 +400,83 @@ def access_summary(t):
 @query
 def liveness_timeouts(t):
     return metrics.liveness_timeouts(t.pongs, SILENCE_US)
+
+
+# --- streams: the whole table goes through a stateful query, then the files it wrote are read ---
+
+#: Later than all data; pushes the watermark past the last row.
+END_US = 4_102_444_800_000_000
+
+
+def _stream(t: Tables, rows: DataFrame, **last) -> DataFrame:
+    """Rows stored as a folder and read as a stream, closed by one late row of its own key."""
+    path = shared_dir(t.spark, "input")
+    rows.write.parquet(path)
+    end = [F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    t.spark.range(1).select(*end).write.mode("append").parquet(path)
+    return read_files(t.spark, rows.schema, path)
+
+
+def _run(t: Tables, result: DataFrame) -> DataFrame:
+    path = shared_dir(t.spark, "output")
+    write_files(result, path, shared_dir(t.spark, "checkpoint"), state_partitions=t.spark.sparkContext.defaultParallelism)
+    return t.spark.read.schema(result.schema).parquet(path)
+
+
+@query
+def stream_ingest(t):
+    log = _stream(t, t.bus_log, topic="end", part=0, off=-1, value="")
+    path = shared_dir(t.spark, "records")
+    consume(log, path, shared_dir(t.spark, "checkpoint")).awaitTermination()
+    stored = t.spark.read.schema(split_log(t.bus_log).schema).parquet(f"{path}/*")
+    return stored.where(F.col("off") >= 0).select("part", "off", "record_class", "error_class", "invalid_code", "message_id", "room_id")
+
+
+@query
+def stream_rate_limit(t):
+    return _run(t, streams.stream_rate_limit(_stream(t, t.limiter_events, user_id="end", event_id=-1, t_us=END_US), LIMIT_RATE, LIMIT_BURST))
+
+
+@query
+def stream_sequence(t):
+    messages = t.messages.select("room_id", "event_id", "t_us", "off")
+    return _run(t, streams.stream_sequence(_stream(t, messages, room_id="end", event_id=-1, t_us=END_US, off=-1)))
+
+
+@query
+def stream_rooms(t):
+    membership = _stream(t, t.membership_log, room_id="end", user_id="end", kind="leave", event_id=-1, t_us=END_US)
+    messages = _stream(t, t.messages, room_id="end", user_id="end", content="end", event_id=-1, t_us=END_US)
+    return _run(t, streams.stream_rooms(membership, messages))
+
+
+@query
+def stream_leases(t):
+    log = _stream(t, t.lease_log, part=-1, kind="release", token="end", gateway_id="", websocket_url="", ttl_us=0, event_id=-1, t_us=END_US)
+    return _run(t, streams.stream_leases(log))
+
+
+@query
+def stream_liveness(t):
+    return _run(t, streams.stream_liveness(_stream(t, t.pongs, conn_id=-1, event_id=-1, t_us=END_US), SILENCE_US))
+
+
+@query
+def stream_dedup(t):
+    once = t.envelopes.where(F.col("created_at").isNotNull()).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    twice = once.unionByName(once).withColumn("message_id", F.concat(F.lit("m-"), "event_id"))
+    end = {"message_id": "end", "event_id": -1, "created_at": "2100-01-01 00:00:00"}
+    return _run(t, streams.stream_dedup(_stream(t, twice, **end)).where(F.col("event_id") >= 0).select("event_id", "message_id"))
+
+
+@query
+def stream_echo(t):
+    sent = _stream(t, t.sent, event_id=-1, user_id="end", content="end", sent_ns=END_US * 1000)
+    received = _stream(t, t.received_echo, user_id="end", content=f"{ECHO_PREFIX}:end:{END_US * 1000}", received_ns=END_US * 1000)
+    return _run(t, streams.stream_echo(sent, received))
+
+
+@query
+def stream_metrics(t):
+    end = {"conn_id": -1, "frame_no": 0, "room_id": "end", "user_id": "end", "t_us": END_US, "payload": ""}
+    return _run(t, streams.stream_metrics(_stream(t, t.frames, **end), WORDS))
