@@ -44,16 +44,17 @@ def with_parsed(df: DataFrame, text: str, fields: list[str]) -> DataFrame:
             {
                 "_listed": pinned(F.from_json(F.concat(F.lit("["), v, F.lit("]")), f"array<struct<{texts}>>", _OPTIONS)),
                 "_held": pinned(F.from_json(F.concat(F.lit('{"p":'), v, F.lit("}")), f"struct<p: struct<{variants}>>", _OPTIONS)),
-                "_null_literal": F.regexp_replace(v, r"^[ \t\r\n]+|[ \t\r\n]+$", "") == "null",
+                "_null_literal": F.btrim(v, F.lit(" \t\r\n")) == "null",
                 "_keys": pinned(F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))),
             }
         )
         .withColumn(
             "_plain",
             pinned(
-                F.expr(
-                    f"size(filter(_keys, k -> {_FOLDED.format(k='k')} IN ({names}))) = "
-                    f"size(array_intersect(_keys, array({names})))"
+                F.expr(  # the usual row has nothing but known keys and needs no look at each
+                    f"CASE WHEN size(_keys) = size(array_intersect(_keys, array({names}))) THEN true "
+                    f"ELSE size(filter(_keys, k -> {_FOLDED.format(k='k')} IN ({names}))) = "
+                    f"size(array_intersect(_keys, array({names}))) END"
                 )
             ),
         )

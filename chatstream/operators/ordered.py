@@ -22,21 +22,34 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatstream.schema import HOUR_US
-
 HOT_SHARE = 1 / 20_000
 HOT_MIN_ROWS = 1_000_000
+SLICE_US = 300_000_000
+ROWS_PER_SLICE = 2_000_000
 
 
 @dataclass(frozen=True)
 class Spread:
     """How a key's rows are cut: slice width, and which keys are cut."""
 
-    width_us: int = HOUR_US
+    width_us: int = SLICE_US
     mode: str = "all"
     hot_share: float = HOT_SHARE
     hot_min_rows: int = HOT_MIN_ROWS
 
+    @classmethod
+    def fit(cls, table: DataFrame, t_us: str, rows_per_slice: int = ROWS_PER_SLICE, **settings) -> Spread:
+        """Slices of about ``rows_per_slice`` rows of a stored table, all keys together.
+
+        However the rows are spread over keys, no key then has more than that in
+        an average slice. Reads one column and brings one row to the driver.
+        """
+        n, first, last = table.agg(F.count(t_us), F.min(t_us), F.max(t_us)).first()
+        if not n:
+            return cls(**settings)
+        slices = max(1, -(-n // rows_per_slice))
+        return cls(width_us=(last - first) // slices + 1, **settings)
+
 
 ALL = Spread()
 HOT = Spread(mode="hot")
@@ -61,7 +74,7 @@ class Running:
 def hot_keys(df: DataFrame, keys: list[str], spread: Spread) -> DataFrame:
     """Keys with at least the share and number of rows; at most 1 / hot_share of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
     return counts.where(
         (F.col("_n") >= spread.hot_min_rows) & (F.col("_n") >= total * F.lit(spread.hot_share))
     ).select(*keys)

@@ -7,6 +7,8 @@ with the token of the lease in force; a lease ends after its time to live.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def route_lookup(probes: DataFrame, log: DataFrame, spread: Spread = ALL) -> Dat
     ``status`` is live, released, expired or never; the address is given only
     while live, and the token never leaves.
     """
-    found = leases(log).select(
+    found = leases(log, replace(spread, mode="hot")).select(
         "part", "t_us", "event_id",
         F.struct("t_us", "event_id", "ttl_us", "gateway_id", "websocket_url", "released").alias("_lease"),
     )

@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatstream import schema as S
 from chatstream.operators import moderation, ratelimit, rooms
+from chatstream.operators.ordered import ALL, HOT, Spread
+from chatstream.session import stored
 
 
-def check_frames(frames: DataFrame, dictionary=S.DEFAULT_DICTIONARY, rate=S.DEFAULT_RATE, burst: int = S.DEFAULT_BURST) -> DataFrame:
-    """Frames with their final ``reject_reason``: checks, closed connections, rate limit."""
-    admitted = moderation.cut_after_terminal(moderation.moderate(frames, dictionary))
-    return ratelimit.limit_frames(admitted, rate, burst)
+def check_frames(
+    frames: DataFrame, dictionary=S.DEFAULT_DICTIONARY, rate=S.DEFAULT_RATE, burst: int = S.DEFAULT_BURST, spread: Spread = HOT
+) -> DataFrame:
+    """Frames with their final ``reject_reason``: checks, closed connections, rate limit.
 
+    The decoded frames are stored once: finding closed connections, busy users
+    and the verdicts read them, and each payload is parsed a single time.
+    """
+    moderated = stored(moderation.moderate(frames, dictionary).drop("payload"), "moderated")
+    return ratelimit.limit_frames(moderation.cut_after_terminal(moderated), rate, burst, spread)
 
-def accept_frames(frames: DataFrame, **limits) -> DataFrame:
-    return check_frames(frames, **limits).where(F.col("reject_reason").isNull())
 
-
-def broadcast_messages(messages: DataFrame, intervals: DataFrame) -> DataFrame:
+def broadcast_messages(messages: DataFrame, intervals: DataFrame, spread: Spread = ALL) -> DataFrame:
     """Messages that somebody hears, numbered per room; unheard ones take no number."""
-    return rooms.room_sequence(rooms.heard(messages, intervals).drop("audience"))
+    heard = stored(rooms.heard(messages, intervals, spread).drop("audience"), "heard")
+    return rooms.room_sequence(heard)
 
 
-def deliver(messages: DataFrame, intervals: DataFrame) -> DataFrame:
-    return rooms.fanout(broadcast_messages(messages, intervals), intervals, times=messages)
+def deliver(messages: DataFrame, intervals: DataFrame, spread: Spread = ALL) -> DataFrame:
+    """Numbered deliveries. ``intervals`` is read several times: give a stored table."""
+    return rooms.fanout(broadcast_messages(messages, intervals, spread), intervals, times=messages)

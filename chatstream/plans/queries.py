@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from fractions import Fraction
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,11 @@ from chatstream.functions.hashing import partition_for_room
 from chatstream.functions.text import clean_words, first_match
 from chatstream.functions.urls import valid_lease
 from chatstream.operators import delivery, envelope, metrics, moderation, ownership, ratelimit, rooms, routing
+from chatstream.operators.ordered import Spread
 from chatstream.plans import flow
 from chatstream.plans.views import spark_view
 from chatstream.schema import ECHO_PREFIX
-from chatstream.session import configure, shared_dir
+from chatstream.session import configure, shared_dir, stored
 from chatstream.streaming import operators as streams
 from chatstream.streaming.run import consume, read_files, split_log, write_files
 
@@ -44,9 +47,19 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
+    def all(self) -> Spread:
+        """Slices fitted to the event table, for calculations that cut every key."""
+        return Spread.fit(self.limiter_events, "t_us")
+
+    @cached_property
+    def hot(self) -> Spread:
+        """The same slices, for calculations that cut only very busy keys."""
+        return replace(self.all, mode="hot")
+
+    @cached_property
     def intervals(self) -> DataFrame:
-        return rooms.membership_intervals(self.membership_log)
+        return stored(rooms.membership_intervals(self.membership_log, self.hot), "intervals")
 
     @property
     def moderated(self) -> DataFrame:
@@ -54,15 +67,15 @@ class Tables:
 
     @property
     def checked(self) -> DataFrame:
-        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST)
+        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST, self.hot)
 
     @property
     def deliveries(self) -> DataFrame:
-        return flow.deliver(self.messages, self.intervals)
+        return flow.deliver(self.messages, self.intervals, self.all)
 
     @property
     def missed(self) -> DataFrame:
-        expected = self.deliveries
+        expected = stored(self.deliveries.select("event_id", "sequence", "member_id"), "deliveries")
         member_no = F.substring_index("member_id", "-", -1).cast("bigint")
         received = expected.where((F.col("event_id") + member_no) % 17 != 0).select("event_id", "member_id")
         return rooms.missed_deliveries(expected, received)
@@ -130,7 +143,7 @@ def metrics_counters(t):
 @query
 def handshake_reasons(t):
     placed = t.handshakes.withColumn("part", partition_for_room(F.trim("room_id"), PARTITIONS))
-    owned = ownership.with_owner(placed, t.ownership_log).withColumn("owned", F.col("instance_id") == F.col("gateway"))
+    owned = ownership.with_owner(placed, t.ownership_log, t.all).withColumn("owned", F.col("instance_id") == F.col("gateway"))
     return moderation.check_handshakes(owned).select("event_id", "user_id", "room_id", "reject_reason")
 
 
@@ -191,7 +204,7 @@ def room_partition(t):
 
 @query
 def rate_limit(t):
-    return ratelimit.rate_limit(t.limiter_events, LIMIT_RATE, LIMIT_BURST).select("user_id", "event_id", "allowed")
+    return ratelimit.rate_limit(t.limiter_events, LIMIT_RATE, LIMIT_BURST, spread=t.hot).select("user_id", "event_id", "allowed")
 
 
 # --- rooms --------------------------------------------------------------------
@@ -199,27 +212,27 @@ def rate_limit(t):
 
 @query
 def membership_intervals(t):
-    return t.intervals
+    return rooms.membership_intervals(t.membership_log, t.hot)
 
 
 @query
 def membership_rejects(t):
-    return rooms.membership_rejects(t.membership_log).select("event_id", "room_id", "user_id", "kind", "outcome")
+    return rooms.membership_rejects(t.membership_log, t.hot).select("event_id", "room_id", "user_id", "kind", "outcome")
 
 
 @query
 def audience_semi(t):
-    return rooms.heard(t.messages, t.intervals).select("event_id", "room_id", "audience")
+    return rooms.heard(t.messages, t.intervals, t.all).select("event_id", "room_id", "audience")
 
 
 @query
 def no_audience_anti(t):
-    return rooms.unheard(t.messages, t.intervals).select("event_id", "room_id")
+    return rooms.unheard(t.messages, t.intervals, t.all).select("event_id", "room_id")
 
 
 @query
 def room_sequence(t):
-    return flow.broadcast_messages(t.messages, t.intervals).select("event_id", "room_id", "off", "sequence")
+    return flow.broadcast_messages(t.messages, t.intervals, t.all).select("event_id", "room_id", "off", "sequence")
 
 
 @query
@@ -245,7 +258,7 @@ def dropped_clients(t):
 
 @query
 def order_violations(t):
-    return rooms.order_violations(t.arrivals, ["room_id"], "off").select("room_id", "off", "previous")
+    return rooms.order_violations(t.arrivals, ["room_id"], "off", t.all).select("room_id", "off", "previous")
 
 
 # --- ownership ----------------------------------------------------------------
@@ -253,7 +266,7 @@ def order_violations(t):
 
 @query
 def ownership_revisions(t):
-    return ownership.revisions(t.ownership_log)
+    return ownership.revisions(t.ownership_log, t.all)
 
 
 @query
@@ -266,17 +279,17 @@ def assigned_partitions(t):
 @query
 def room_ownership(t):
     placed = t.messages.withColumn("part", partition_for_room(F.col("room_id"), PARTITIONS))
-    return ownership.with_owner(placed, t.ownership_log).select("event_id", "room_id", "part", "instance_id", "changed_by")
+    return ownership.with_owner(placed, t.ownership_log, t.all).select("event_id", "room_id", "part", "instance_id", "changed_by")
 
 
 @query
 def rebalance_closed(t):
-    return ownership.rebalance_closed(t.intervals, t.ownership_log).select("join_id", "joined_at", "closed_at", "by_rebalance")
+    return ownership.rebalance_closed(t.intervals, t.ownership_log, t.all).select("join_id", "joined_at", "closed_at", "by_rebalance")
 
 
 @query
 def handshake_recheck(t):
-    return ownership.handshake_recheck(t.handshakes, t.ownership_log)
+    return ownership.handshake_recheck(t.handshakes, t.ownership_log, t.all)
 
 
 @query
@@ -291,7 +304,7 @@ def ownership_exclusive(t):
 
 @query
 def lease_reconcile(t):
-    return ownership.lease_reconcile(t.ownership_log).select("event_id", "part", "instance_id", "action")
+    return ownership.lease_reconcile(t.ownership_log, t.all).select("event_id", "part", "instance_id", "action")
 
 
 # --- leases -------------------------------------------------------------------
@@ -313,7 +326,7 @@ def lease_valid(t):
 def route_lookup(t):
     log = t.lease_log
     probes = log.where(F.col("kind") == "resolve").select("event_id", "t_us", "part")
-    return routing.route_lookup(probes, log.where(F.col("kind") != "resolve"))
+    return routing.route_lookup(probes, log.where(F.col("kind") != "resolve"), t.all)
 
 
 # --- delivery audit -----------------------------------------------------------
@@ -369,12 +382,12 @@ def metrics_lines(t):
 @query
 def connections_gauge(t):
     changes = rooms.connection_changes(t.intervals)
-    return metrics.connections_gauge(changes).select("event_id", "t_us", "delta", "connections")
+    return metrics.connections_gauge(changes, t.all).select("event_id", "t_us", "delta", "connections")
 
 
 @query
 def connections_peak(t):
-    return metrics.connections_peak(rooms.connection_changes(t.intervals))
+    return metrics.connections_peak(rooms.connection_changes(t.intervals), t.all)
 
 
 @query
@@ -399,7 +412,7 @@ def access_summary(t):
 
 @query
 def liveness_timeouts(t):
-    return metrics.liveness_timeouts(t.pongs, SILENCE_US)
+    return metrics.liveness_timeouts(t.pongs, SILENCE_US, spread=t.hot)
 
 
 # --- streams: the whole table goes through a stateful query, then the files it wrote are read ---
