@@ -87,7 +87,7 @@ def string_field(text: str, field: str) -> Column:
     given = f"filter({_entries(text, field)}, e -> schema_of_variant(e.value) <> 'VOID')"
     return F.expr(
         f"CASE WHEN _plain THEN try_variant_get(_held.p.{field}, '$', 'string') "
-        f"WHEN size({given}) > 0 THEN try_variant_get(element_at({given}, -1).value, '$', 'string') END"
+        f"ELSE try_variant_get(try_element_at({given}, -1).value, '$', 'string') END"
     )
 
 
@@ -96,7 +96,7 @@ def uint64_field(text: str, field: str) -> tuple[Column, Column]:
     # VARIANT turns 1.0 into a decimal without its fraction, so the raw text decides.
     raw = (
         f"CASE WHEN _plain THEN get(_listed, 0).{field} "
-        f"ELSE element_at(filter(map_entries(from_json({text}, 'map<string, string>')), "
+        f"ELSE try_element_at(filter(map_entries(from_json({text}, 'map<string, string>')), "
         f"e -> {_FOLDED.format(k='e.key')} = '{field}' AND e.value IS NOT NULL), -1).value END"
     )
     value = f"try_cast(({raw}) AS decimal(20,0))"

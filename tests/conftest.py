@@ -1,0 +1,33 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from chatstream.session import build_session, configure  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[8]", **{
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+    })
+    session.sparkContext.setLogLevel("ERROR")
+    yield configure(session)
+    session.stop()
+
+
+@pytest.fixture
+def rows():
+    """Collected rows as a sorted list of tuples."""
+
+    def collect(df, *columns):
+        picked = df.select(*columns) if columns else df
+        return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple((v is None, str(type(v)), v) if not isinstance(v, (int, bool)) else (False, "", v) for v in r))
+
+    return collect
