@@ -441,7 +441,7 @@ def stream_ingest(t):
     log = _stream(t, t.bus_log, topic="end", part=0, off=-1, value="")
     path = shared_dir(t.spark, "records")
     consume(log, path, shared_dir(t.spark, "checkpoint")).awaitTermination()
-    stored = t.spark.read.schema(split_log(t.bus_log).schema).parquet(f"{path}/*")
+    stored = t.spark.read.schema(split_log(t.bus_log).schema).parquet(path)
     return stored.where(F.col("off") >= 0).select("part", "off", "record_class", "error_class", "invalid_code", "message_id", "room_id")
 
 
