@@ -24,7 +24,8 @@ def is_blank(c: Column) -> Column:
 
 def lower_simple(c: Column) -> Column:
     """Lower case one code point at a time (no final-sigma or dotted-i rules)."""
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    special = F.contains(c, F.lit("İ")) | F.contains(c, F.lit("Σ"))
+    return F.lower(F.when(special, F.translate(c, "İΣ", "iσ")).otherwise(c))
 
 
 def normalize(c: Column) -> Column:
@@ -45,7 +46,9 @@ def first_match(content: Column, dictionary: list[str]) -> Column:
     words = [w for w in map(_normalize_py, dictionary) if w]
     if not words:
         return F.lit(None).cast("string")
-    text = normalize(content)
+    # A cleaned word starts and ends with a visible character, so trimming the
+    # content cannot change what it contains.
+    text = lower_simple(content)
     if len(words) <= LITERAL_WORDS:
         return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
     return _automaton_match(words)(text)

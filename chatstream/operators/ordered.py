@@ -9,15 +9,16 @@ contribute is carried in from a summary with one row per (key, slice):
 
 ``spread="all"`` cuts every key; right where keys are few (rooms, partitions,
 the whole system). ``spread="hot"`` cuts only keys that hold a large share of
-the rows, found by a map-side-combined count, and leaves all other keys in one
-piece, so that the usual rows are shuffled once. At most ``1 / HOT_SHARE`` keys
-can hold that share, which is the proven bound on the broadcast.
+the rows, found beforehand by a map-side-combined count, and leaves all other
+keys in one piece, so that the usual rows are shuffled once and the carry only
+exists when there is a hot key. At most ``1 / HOT_SHARE`` keys can hold that
+share, which is the proven bound on what is collected and broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,29 +27,68 @@ HOT_SHARE = 1 / 20_000
 HOT_MIN_ROWS = 1_000_000
 SLICE_US = 300_000_000
 ROWS_PER_SLICE = 2_000_000
+MAX_SLICES = 100_000
+_PIECES = 1 << 20
+_LEVELS = 2
 
 
 @dataclass(frozen=True)
 class Spread:
-    """How a key's rows are cut: slice width, and which keys are cut."""
+    """How a key's rows are cut: which keys, and into which slices of time.
+
+    Slices are ``width_us`` long. Each level of ``dense`` lists slices that are
+    cut again into a number of equal pieces: ((slice, pieces), ...).
+    """
 
     width_us: int = SLICE_US
     mode: str = "all"
     hot_share: float = HOT_SHARE
     hot_min_rows: int = HOT_MIN_ROWS
+    origin_us: int = 0
+    dense: tuple[tuple[tuple[int, int], ...], ...] = ()
 
     @classmethod
     def fit(cls, table: DataFrame, t_us: str, rows_per_slice: int = ROWS_PER_SLICE, **settings) -> Spread:
         """Slices of about ``rows_per_slice`` rows of a stored table, all keys together.
 
         However the rows are spread over keys, no key then has more than that in
-        an average slice. Reads one column and brings one row to the driver.
+        a slice. Time is first cut evenly; bursts, found by counting rows per
+        slice, are cut again, and once more where the rows still crowd. Reads
+        one column; what comes to the driver is bounded by ``MAX_SLICES``.
         """
         n, first, last = table.agg(F.count(t_us), F.min(t_us), F.max(t_us)).first()
         if not n:
             return cls(**settings)
-        slices = max(1, -(-n // rows_per_slice))
-        return cls(width_us=(last - first) // slices + 1, **settings)
+        slices = min(max(1, -(-n // rows_per_slice)), MAX_SLICES)
+        spread = cls(width_us=(last - first) // slices + 1, origin_us=first, **settings)
+        while slices > 1 and len(spread.dense) < _LEVELS:
+            counts = spread.add_slice(table.select(t_us), t_us).groupBy("_slice").agg(F.count(F.lit(1)).alias("n"))
+            crowded = counts.where(F.col("n") > 2 * rows_per_slice).orderBy(F.desc("n")).limit(MAX_SLICES).collect()
+            if not crowded:
+                break
+            pieces = sorted((r["_slice"], min(-(-r["n"] // rows_per_slice), _PIECES - 1)) for r in crowded)
+            spread = replace(spread, dense=(*spread.dense, tuple(pieces)))
+        return spread
+
+    def add_slice(self, df: DataFrame, t_us: str) -> DataFrame:
+        """Add ``_slice``, which never decreases with time."""
+        width = F.lit(self.width_us).cast("bigint")
+        out = df.withColumn("_slice", F.floor((F.col(t_us) - self.origin_us) / width).cast("bigint"))
+        if not self.dense:
+            return out
+        # _rest is the place inside the slice, scaled so that every slice is width_us long
+        out = out.withColumn("_rest", F.col(t_us) - self.origin_us - F.col("_slice") * width)
+        for level in self.dense:
+            pieces = F.broadcast(df.sparkSession.createDataFrame(list(level), "_slice bigint, _pieces bigint"))
+            out = (
+                out.join(pieces, "_slice", "left")
+                .withColumn("_rest", F.col("_rest") * F.coalesce("_pieces", F.lit(1)))
+                .withColumn("_piece", F.floor(F.col("_rest") / width).cast("bigint"))
+                .withColumn("_slice", F.col("_slice") * _PIECES + F.col("_piece"))
+                .withColumn("_rest", F.col("_rest") - F.col("_piece") * width)
+                .drop("_pieces", "_piece")
+            )
+        return out.select(*df.columns, "_slice")
 
 
 ALL = Spread()
@@ -80,18 +120,24 @@ def hot_keys(df: DataFrame, keys: list[str], spread: Spread) -> DataFrame:
     ).select(*keys)
 
 
-def cut(df: DataFrame, keys: list[str], t_us: str, spread: Spread) -> tuple[DataFrame, DataFrame]:
-    """(all rows with ``_slice``, the rows of the keys that were cut).
+def cut(df: DataFrame, keys: list[str], t_us: str, spread: Spread) -> tuple[DataFrame, DataFrame | None]:
+    """(all rows with ``_slice``, the rows of the keys that were cut or None if no key was).
 
-    ``_slice`` is NULL for a key that is left in one piece.
+    ``_slice`` is NULL for a key that is left in one piece. In mode "hot" the
+    counting runs now, and only the found keys come to the driver: usually none,
+    never more than ``1 / hot_share``.
     """
-    slice_no = F.floor(F.col(t_us) / F.lit(spread.width_us)).cast("bigint")
     if spread.mode == "all":
-        sliced = df.withColumn("_slice", slice_no)
+        sliced = spread.add_slice(df, t_us)
         return sliced, sliced
-    hot = F.broadcast(hot_keys(df, keys, spread).withColumn("_hot", F.lit(True)))
-    sliced = df.join(hot, keys, "left").withColumn("_slice", F.when(F.col("_hot"), slice_no)).drop("_hot")
-    return sliced, df.join(hot, keys).drop("_hot").withColumn("_slice", slice_no)
+    found = hot_keys(df, keys, spread)
+    rows = found.collect()
+    if not rows:
+        return df.withColumn("_slice", F.lit(None).cast("bigint")), None
+    hot = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True)))
+    everything = spread.add_slice(df, t_us).join(hot, keys, "left")
+    sliced = everything.withColumn("_slice", F.when(F.col("_hot"), F.col("_slice"))).select(*df.columns, "_slice")
+    return sliced, spread.add_slice(df.join(hot, keys).select(*df.columns), t_us)
 
 
 def _over(keys: list[str], order: list[str], frame: str = "") -> str:
@@ -119,6 +165,10 @@ def running(df: DataFrame, keys: list[str], t_us: str, order: list[str], want: R
         *[F.expr(f"lead({c}, 1) IGNORE NULLS {_over(cell, order)}").alias(f"_l_{o}") for o, c in want.next.items()],
     )
 
+    if cut_rows is None:
+        totals = [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in want.sums]
+        return local.select(*df.columns, *totals, *[F.col(f"_l_{o}").alias(o) for o in [*want.last, *want.prev, *want.next]])
+
     position = f"struct({', '.join(order)})"
     summary = cut_rows.groupBy(*cell).agg(
         *[F.sum(c).alias(f"_s_{o}") for o, c in want.sums.items()],

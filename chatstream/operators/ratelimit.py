@@ -196,6 +196,22 @@ def _decide(per_us: int, token: int, slack: int, kept: list[str]):
     return run
 
 
+def _starts(cut_rows: DataFrame, per_us: int, token: int, slack: int, tie: str) -> DataFrame:
+    """The bucket that every slice of a cut user starts with."""
+    effects = (
+        cut_rows.where(F.col("_charge"))
+        .select(*_CELL, "t_us", tie)
+        .repartition(*_CELL)
+        .sortWithinPartitions(*_CELL, "t_us", tie)
+        .mapInArrow(_slice_effects(per_us, token, slack), _EFFECT)
+    )
+    return (
+        effects.repartition("_user")
+        .sortWithinPartitions(*_CELL)
+        .mapInArrow(_chain, "_user string, _slice bigint, _start bigint")
+    )
+
+
 def rate_limit(
     events: DataFrame,
     rate=DEFAULT_RATE,
@@ -217,24 +233,14 @@ def rate_limit(
     keyed = events.withColumn("_user", user).withColumn("_charge", asks & (user != ""))
 
     sliced, cut_rows = cut(keyed, ["_user"], "t_us", spread)
-    effects = (
-        cut_rows.where(F.col("_charge"))
-        .select(*_CELL, "t_us", tie)
-        .repartition(*_CELL)
-        .sortWithinPartitions(*_CELL, "t_us", tie)
-        .mapInArrow(_slice_effects(per_us, token, slack), _EFFECT)
-    )
-    starts = (
-        effects.repartition("_user")
-        .sortWithinPartitions(*_CELL)
-        .mapInArrow(_chain, "_user string, _slice bigint, _start bigint")
-    )
-    # Grouping for the pass below comes from this repartition; the join keeps it.
+    if cut_rows is None:
+        started = sliced.withColumn("_start", F.lit(None).cast("bigint")).repartition("_user")
+    else:
+        started = sliced.repartition(*_CELL).join(_starts(cut_rows, per_us, token, slack, tie), _CELL, "left")
+    # The pass relies on the repartition above to see a bucket's rows together; the join keeps it.
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
     return (
-        sliced.repartition(*_CELL)
-        .join(starts, _CELL, "left")
-        .sortWithinPartitions(*_CELL, "t_us", tie)
+        started.sortWithinPartitions(*_CELL, "t_us", tie)
         .mapInArrow(_decide(per_us, token, slack, events.columns), schema)
         .withColumn("allowed", F.when(asks, F.coalesce("allowed", F.lit(False))))
     )

@@ -22,12 +22,7 @@ def line(spark):
     return spark.createDataFrame(data, "k string, t_us long, event_id long, v long").withColumn("w", F.when(F.col("v") > 2, F.col("v")))
 
 
-@pytest.mark.parametrize("name", SPREADS)
-@pytest.mark.parametrize("keys", [["k"], []])
-def test_running_equals_plain_window(line, name, keys):
-    spread = SPREADS[name]
-    if not keys and spread.mode == "hot":
-        pytest.skip("hot keys need a key")
+def check_running(line, keys, spread):
     forward = W.partitionBy(*keys).orderBy("t_us", "event_id")
     backward = W.partitionBy(*keys).orderBy(F.desc("t_us"), F.desc("event_id"))
     want = line.select(
@@ -44,17 +39,44 @@ def test_running_equals_plain_window(line, name, keys):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("name", SPREADS)
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_running_equals_plain_window(line, name, keys):
+    spread = SPREADS[name]
+    if not keys and spread.mode == "hot":
+        pytest.skip("hot keys need a key")
+    check_running(line, keys, spread)
+
+
 def test_hot_keys_are_bounded_by_the_share(line):
     found = {r.k for r in hot_keys(line, ["k"], Spread(mode="hot", hot_share=0.5, hot_min_rows=1)).collect()}
     assert found == {"a"}
     assert hot_keys(line, ["k"], HOT).count() == 0
 
 
-def test_fit_bounds_rows_per_slice(line):
-    spread = Spread.fit(line, "t_us", rows_per_slice=100)
-    slices = line.groupBy(F.floor(F.col("t_us") / spread.width_us)).count()
-    assert 19 <= slices.count() <= 21
-    assert Spread.fit(line.limit(0), "t_us") == ALL
+@pytest.fixture(scope="module")
+def burst(spark):
+    """Two thirds of all rows, most of one key, within a thousandth of the time."""
+    rng = random.Random(2)
+    data = [("a" if rng.random() < 0.9 else "b", 500_000_000 + rng.randrange(1_000_000), i, 1) for i in range(2000)]
+    data += [(rng.choice("abc"), rng.randrange(1_000_000_000), 2000 + i, 1) for i in range(1000)]
+    return spark.createDataFrame(data, "k string, t_us long, event_id long, v long").withColumn("w", F.when(F.col("event_id") % 5 == 0, F.col("event_id")))
+
+
+def test_fit_bounds_rows_per_slice_in_a_burst(burst):
+    spread = Spread.fit(burst, "t_us", rows_per_slice=50)
+    assert len(spread.dense) >= 1
+    sliced = spread.add_slice(burst, "t_us")
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 200
+    late = sliced.select("_slice", F.lag("_slice").over(W.orderBy("t_us")).alias("p")).where("_slice < p")
+    assert late.count() == 0
+    assert Spread.fit(burst.limit(0), "t_us") == ALL
+
+
+@pytest.mark.parametrize("settings", [{}, {"mode": "hot", "hot_share": 0.5, "hot_min_rows": 5}])
+def test_running_over_fitted_slices(burst, settings):
+    spread = Spread.fit(burst, "t_us", rows_per_slice=50, **settings)
+    check_running(burst, ["k"], spread)
 
 
 @pytest.mark.parametrize("width", [1, 50, 10_000])
