@@ -5,7 +5,7 @@ Labels come from bounded sets only; rooms and users are never labels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.operators.ordered import ALL, HOT, Running, Spread, running
@@ -41,27 +41,38 @@ def frame_counters(checked: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     )
 
 
-def latency_histogram(timings: DataFrame, seconds: str, metric: str, bounds: list[str] = LATENCY_BUCKETS) -> DataFrame:
-    """Cumulative buckets (upper bound inclusive), count and sum in one pass.
+def bucket_counts(seconds: str, bounds: list[str] = LATENCY_BUCKETS) -> list[Column]:
+    """Aggregates ``le_0 ... le_k, n, total``: cumulative buckets (bound inclusive), count and sum.
 
     The sum is kept in exact decimals, so it does not depend on how rows are split.
     """
     v = F.col(seconds)
-    totals = timings.where(v.isNotNull()).agg(
-        *[F.count_if(v <= F.lit(float(b))).cast(_EXACT).alias(f"le_{i}") for i, b in enumerate(bounds)],
-        F.count(F.lit(1)).cast(_EXACT).alias("n"),
+    return [
+        *[F.count_if(v <= F.lit(float(b))).alias(f"le_{i}") for i, b in enumerate(bounds)],
+        F.count(v).alias("n"),
         F.coalesce(F.sum(v.cast("decimal(28,9)")), F.lit(0)).cast(_EXACT).alias("total"),
-    )
-    rows = [
-        F.struct(F.lit(f"{metric}_bucket").alias("metric"), F.lit(f'le="{b}"').alias("labels"), F.col(f"le_{i}").alias("value"))
-        for i, b in enumerate(bounds)
     ]
-    rows += [
-        F.struct(F.lit(f"{metric}_bucket").alias("metric"), F.lit('le="+Inf"').alias("labels"), F.col("n").alias("value")),
-        F.struct(F.lit(f"{metric}_sum").alias("metric"), F.lit("").alias("labels"), F.col("total").alias("value")),
-        F.struct(F.lit(f"{metric}_count").alias("metric"), F.lit("").alias("labels"), F.col("n").alias("value")),
+
+
+def latency_histogram(timings: DataFrame, seconds: str, metric: str, bounds: list[str] = LATENCY_BUCKETS) -> DataFrame:
+    """Histogram samples from one pass over the timings."""
+
+    def row(name: str, labels: str, value: str) -> Column:
+        return F.struct(F.lit(f"{metric}_{name}").alias("metric"), F.lit(labels).alias("labels"), F.col(value).cast(_EXACT).alias("value"))
+
+    rows = [row("bucket", f'le="{b}"', f"le_{i}") for i, b in enumerate(bounds)]
+    rows += [row("bucket", 'le="+Inf"', "n"), row("sum", "", "total"), row("count", "", "n")]
+    return timings.agg(*bucket_counts(seconds, bounds)).select(F.inline(F.array(*rows)))
+
+
+def samples(df: DataFrame, values: dict[str, str], label: str | None = None, namespace: str = NAMESPACE) -> DataFrame:
+    """Gauges and counters from columns: metric name -> column, labelled by a column of bounded values."""
+    labels = F.lit("") if label is None else F.concat(F.lit(f'{label}="'), F.col(label).cast("string"), F.lit('"'))
+    rows = [
+        F.struct(F.lit(f"{namespace}_{name}").alias("metric"), labels.alias("labels"), F.col(column).cast(_EXACT).alias("value"))
+        for name, column in values.items()
     ]
-    return totals.select(F.inline(F.array(*rows)))
+    return df.select(F.inline(F.array(*rows)))
 
 
 def metrics_lines(samples: DataFrame) -> DataFrame:

@@ -218,19 +218,22 @@ def rate_limit(
     burst: int = DEFAULT_BURST,
     tie: str = "event_id",
     charge: Column | None = None,
+    per: str | None = None,
     spread: Spread = HOT,
 ) -> DataFrame:
     """Add ``allowed`` to rows with ``user_id``, ``t_us`` and an order column ``tie``.
 
     ``rate`` may be an int, a Fraction, a decimal string or a float (read as its
     decimal text). Rows for which ``charge`` is not true neither ask for nor use
-    a token and get NULL. An empty user id is never allowed.
+    a token and get NULL. An empty user id is never allowed. A user has one
+    bucket, or one for each value of the column ``per`` (say, the gateway).
     """
     per_us, token = bucket_units(rate, burst)
     slack = (burst - 1) * token
     asks = F.lit(True) if charge is None else F.coalesce(charge, F.lit(False))
     user = F.coalesce("user_id", F.lit(""))
-    keyed = events.withColumn("_user", user).withColumn("_charge", asks & (user != ""))
+    bucket = user if per is None else F.concat_ws("\x1f", F.col(per).cast("string"), user)
+    keyed = events.withColumn("_user", bucket).withColumn("_charge", asks & (user != ""))
 
     sliced, cut_rows = cut(keyed, ["_user"], "t_us", spread)
     if cut_rows is None:

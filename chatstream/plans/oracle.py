@@ -249,6 +249,22 @@ from classed where bad is not null or missing is not null""",
         "select o.user_id, o.event_id, b.allowed from ordered o join bucket b on b.user_id = o.user_id and b.rn = o.rn",
         recursive=True,
     ),
+    "rate_limit_per_gateway": _with(
+        ["attempts"],
+        "scoped as (select event_id, t_us, cast(published as varchar) || user_id as user_id, user_id as name from attempts)",
+        _bucket("scoped", "t_us, event_id", "(1 / 20000.0)", Q.LIMIT_BURST),
+        "select o.name as user_id, o.event_id, b.allowed from ordered o join bucket b on b.user_id = o.user_id and b.rn = o.rn",
+        recursive=True,
+    ),
+    "publish_gate": _with(
+        ["attempts", "consumer_log"], _bucket("attempts", "t_us, event_id", "(1 / 20000.0)", Q.LIMIT_BURST),
+        "changes as (select instance_id, t_us, kind = 'ready' as bus_ready from consumer_log where kind in ('ready', 'not_ready', 'restart'))",
+        """select o.event_id, case when not b.allowed then 'rate_limit' when not coalesce(c.bus_ready, false) then 'message_bus_unavailable'
+  when o.message_id is null then 'message_id_generation_failed' when not o.published then 'message_bus_unavailable' end as reject_reason
+from ordered o join bucket b on b.user_id = o.user_id and b.rn = o.rn
+  asof left join changes c on c.instance_id = o.instance_id and o.t_us >= c.t_us""",
+        recursive=True,
+    ),
     "membership_intervals": _with(["membership_log"], _INTERVALS, "select * from intervals"),
     "membership_rejects": _with(["membership_log"], _HISTORY, "select event_id, room_id, user_id, kind, outcome from history where outcome <> 'accepted'"),
     "audience_semi": _with(
@@ -395,8 +411,32 @@ from (select value, '/' || event_type as path, case event_type when 'error' then
     ),
 }
 
+_STATE = """states as (
+  select instance_id, max(case when kind = 'running' then 1 else 0 end) as running,
+    coalesce(arg_max(case when kind = 'ready' then 1 else 0 end, t_us) filter (kind in ('ready', 'not_ready', 'restart')), 0) as ready,
+    count(*) filter (kind = 'restart') as restarts from consumer_log group by instance_id
+)"""
+ORACLE["metrics_scrape"] = _with(
+    ["frames", "timings", "membership_log", "messages", "consumer_log"],
+    *_CHECKED, _COUNTERS, _HISTOGRAM, _INTERVALS, _CHANGES, _NUMBERED, _DELIVERIES, _MISSED, _STATE,
+    """select metric, labels, cast(value as double) as value from (
+  select metric, labels, cast(value as double) as value from counters union all select metric, labels, cast(value as double) from samples
+  union all select 'chatstream_room_client_messages_dropped_total', '', (select count(*) from missed)
+  union all select 'chatstream_websocket_connections_current', '', (select sum(delta) from changes)
+  union all select 'chatstream_consumer_running', 'instance_id="' || instance_id || '"', running from states
+  union all select 'chatstream_consumer_ready', 'instance_id="' || instance_id || '"', ready from states
+  union all select 'chatstream_consumer_restarts_total', 'instance_id="' || instance_id || '"', restarts from states)""",
+    recursive=True,
+)
+
 # Streams must give what their batch forms give.
 ORACLE |= {
+    "stream_histogram": _with(
+        ["timings"],
+        "select t_us - t_us % 86400000000 as from_us, "
+        + ", ".join(f"count(*) filter (seconds <= {b}) as le_{i}" for i, b in enumerate(S.LATENCY_BUCKETS))
+        + ", count(*) as n, cast(sum(cast(seconds as decimal(28,9))) as double) as total from timings group by 1",
+    ),
     "stream_ingest": """select cast(((user_id + event_id) % 10) % 3 as int) as part, event_id as off,
   case when kind is null then 'valid' else 'poison' end as record_class,
   case when kind in ('not-json', 'number') then 'malformed' when kind is not null then 'invalid' end as error_class,

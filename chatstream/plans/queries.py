@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from fractions import Fraction
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatstream.functions.hashing import partition_for_room
 from chatstream.functions.text import clean_words, first_match
 from chatstream.functions.urls import valid_lease
-from chatstream.operators import delivery, envelope, metrics, moderation, ownership, ratelimit, rooms, routing
+from chatstream.operators import delivery, envelope, metrics, moderation, ownership, publish, ratelimit, rooms, routing
 from chatstream.operators.ordered import Spread
 from chatstream.plans import flow
 from chatstream.plans.views import spark_view
@@ -207,6 +207,20 @@ def rate_limit(t):
     return ratelimit.rate_limit(t.limiter_events, LIMIT_RATE, LIMIT_BURST, spread=t.hot).select("user_id", "event_id", "allowed")
 
 
+@query
+def rate_limit_per_gateway(t):
+    limited = ratelimit.rate_limit(t.attempts, LIMIT_RATE, LIMIT_BURST, per="published", spread=t.hot)
+    return limited.select("user_id", "event_id", "allowed")
+
+
+@query
+def publish_gate(t):
+    limited = ratelimit.rate_limit(t.attempts, LIMIT_RATE, LIMIT_BURST, spread=t.hot)
+    at = publish.with_readiness(limited, t.consumer_log, t.all)
+    reason = F.when(~F.col("allowed"), "rate_limit")
+    return at.select("event_id", publish.publish_reason(reason, F.col("bus_ready"), F.col("message_id"), F.col("published")).alias("reject_reason"))
+
+
 # --- rooms --------------------------------------------------------------------
 
 
@@ -379,6 +393,25 @@ def metrics_lines(t):
     return metrics.metrics_lines(samples)
 
 
+@query
+def metrics_scrape(t):
+    """Every metric of the flow in one table."""
+    dropped = rooms.dropped_clients(t.missed).agg(F.coalesce(F.sum("dropped_clients"), F.lit(0)).alias("dropped"))
+    peak = metrics.connections_peak(rooms.connection_changes(t.intervals), t.all)
+    parts = [
+        metrics.frame_counters(t.checked),
+        metrics.latency_histogram(t.timings, "seconds", "chatstream_publish_duration_seconds"),
+        metrics.samples(dropped, {"room_client_messages_dropped_total": "dropped"}),
+        metrics.samples(peak, {"websocket_connections_current": "current"}),
+        metrics.samples(
+            metrics.consumer_state(t.consumer_log),
+            {"consumer_running": "running", "consumer_ready": "ready", "consumer_restarts_total": "restarts"},
+            label="instance_id",
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.col("value").cast("double"))
+
+
 @query
 def connections_gauge(t):
     changes = rooms.connection_changes(t.intervals)
@@ -493,3 +526,9 @@ def stream_echo(t):
 def stream_metrics(t):
     end = {"conn_id": -1, "frame_no": 0, "room_id": "end", "user_id": "end", "t_us": END_US, "payload": ""}
     return _run(t, streams.stream_metrics(_stream(t, t.frames, **end), WORDS))
+
+
+@query
+def stream_histogram(t):
+    timed = _stream(t, t.timings, event_id=-1, t_us=END_US, seconds=0)
+    return _run(t, streams.stream_histogram(timed, "seconds", "1 day")).withColumn("total", F.col("total").cast("double"))

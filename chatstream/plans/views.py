@@ -178,7 +178,11 @@ from @T(events) where event_type in ('click', 'view') and event_id % 11 = 0""",
     "client_errors": """
 select event_id, case when event_id % 3 = 0 then 'write' else 'read' end as kind from @T(events) where event_type = 'error'""",
     "timings": """
-select event_id, value / 10 as seconds from @T(events)""",
+select event_id, @US(ts) as t_us, value / 10 as seconds from @T(events)""",
+    "attempts": """
+select event_id, @US(ts) as t_us, cast(user_id as @STR) as user_id, cast((user_id + 1) % 4 as int) as instance_id,
+  case when event_id % 97 <> 0 then 'm-' || cast(event_id as @STR) end as message_id, event_id % 89 <> 0 as published
+from @T(events)""",
     "access_rows": """
 select event_id, 'GET' as method, '/' || event_type || case when event_id % 3 = 0 then '?token=' || cast(event_id as @STR) else '' end as path,
   value as latency_ms,

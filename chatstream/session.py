@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import importlib
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the results or the skew handling depend on; all can be set at run time.
@@ -21,27 +21,16 @@ RUNTIME_CONF = {
 }
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    here = Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        f"{tempfile.mkdtemp(prefix='chatstream-')}/{here.name}", "zip", root_dir=here.parent, base_dir=here.name
-    )
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+def ship_package() -> None:
+    """Send this package's functions along with each task, so workers need no copy of it."""
+    register_pickle_by_value(importlib.import_module(__package__))
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    ship_package(spark)
+    ship_package()
     return spark
 
 
@@ -52,7 +41,7 @@ def build_session(app: str = "chatstream", master: str | None = None, **conf: st
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    ship_package(spark)
+    ship_package()
     return spark
 
 
