@@ -18,8 +18,8 @@ def trim_space(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """True for NULL, empty and all-white-space text."""
-    return F.coalesce(trim_space(c), F.lit("")) == ""
+    """True for NULL, empty and all-white-space text. Stops at the first visible character."""
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def lower_simple(c: Column) -> Column:

@@ -19,13 +19,14 @@ def moderate(
 ) -> DataFrame:
     """Add ``content``, ``matched_word`` and ``reject_reason`` (NULL when accepted).
 
-    The checks are one CASE, so the first failing check names the reason and the
-    later, dearer ones are skipped for that row.
+    The checks are one CASE, so the first failing check names the reason.
+    Frames over the size limit are not parsed at all.
     """
+    fits = F.when(F.octet_length("payload") <= max_bytes, F.col("payload"))
     parsed = (
-        J.with_parsed(frames, "payload", ["content"])
-        .withColumn("_decodes", pinned(J.shape_ok() & J.field_types_ok("payload", "content", ["STRING"])))
-        .withColumn("content", pinned(F.when(F.col("_decodes"), J.string_field("payload", "content"))))
+        J.with_parsed(frames.withColumn("_text", fits), "_text", ["content"])
+        .withColumn("_decodes", pinned(J.shape_ok() & J.field_types_ok("_text", "content", ["STRING"])))
+        .withColumn("content", pinned(F.when(F.col("_decodes"), J.string_field("_text", "content"))))
         .withColumn("matched_word", first_match(F.col("content"), dictionary))
     )
     reason = (
@@ -38,7 +39,7 @@ def moderate(
     return (
         parsed.withColumn("reject_reason", pinned(reason))
         .withColumn("matched_word", F.when(F.col("reject_reason") == "sensitive_content", F.col("matched_word")))
-        .drop(*J.PARSED, "_decodes")
+        .drop(*J.PARSED, "_decodes", "_text")
     )
 
 

@@ -448,6 +448,7 @@ from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103
     "stream_rate_limit": ORACLE["rate_limit"],
     "stream_sequence": _with(["messages"], "select room_id, event_id, row_number() over (partition by room_id order by off) as sequence from messages"),
     "stream_rooms": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
+    "stream_fanout": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
     "stream_leases": ORACLE["route_lookup"],
     "stream_liveness": _with(
         ["pongs"],

@@ -496,6 +496,15 @@ def stream_rooms(t):
     return _run(t, streams.stream_rooms(membership, messages))
 
 
+@query
+def stream_fanout(t):
+    membership = _stream(t, t.membership_log, room_id="end", user_id="end", kind="leave", event_id=-1, t_us=END_US)
+    messages = _stream(t, t.messages, room_id="end", user_id="end", content="end", event_id=-1, t_us=END_US)
+    numbered = _run(t, streams.stream_numbered(membership, messages))
+    again = _stream(t, numbered, room_id="end", event_id=-1, t_us=END_US, sequence=0, audience=0)
+    return _run(t, streams.stream_fanout(membership, again, shares=4))
+
+
 @query
 def stream_leases(t):
     log = _stream(t, t.lease_log, part=-1, kind="release", token="end", gateway_id="", websocket_url="", ttl_us=0, event_id=-1, t_us=END_US)
