@@ -20,9 +20,13 @@ def moderate(
     """Add ``content``, ``matched_word`` and ``reject_reason`` (NULL when accepted).
 
     The checks are one CASE, so the first failing check names the reason.
-    Frames over the size limit are not parsed at all.
+    Frames over the size limit are not parsed at all. In a binary payload bytes
+    that are not UTF-8 are replaced before decoding.
     """
-    fits = F.when(F.octet_length("payload") <= max_bytes, F.col("payload"))
+    text = F.col("payload")
+    if dict(frames.dtypes)["payload"] == "binary":
+        text = F.make_valid_utf8(text.cast("string"))
+    fits = F.when(F.octet_length("payload") <= max_bytes, text)
     parsed = (
         J.with_parsed(frames.withColumn("_text", fits), "_text", ["content"])
         .withColumn("_decodes", pinned(J.shape_ok() & J.field_types_ok("_text", "content", ["STRING"])))

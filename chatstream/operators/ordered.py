@@ -127,7 +127,7 @@ def cut(df: DataFrame, keys: list[str], t_us: str, spread: Spread) -> tuple[Data
     counting runs now, and only the found keys come to the driver: usually none,
     never more than ``1 / hot_share``.
     """
-    if spread.mode == "all":
+    if spread.mode == "all" or not keys:
         sliced = spread.add_slice(df, t_us)
         return sliced, sliced
     found = hot_keys(df, keys, spread)
@@ -192,7 +192,7 @@ def running(df: DataFrame, keys: list[str], t_us: str, order: list[str], want: R
     joined = local.alias("r").join(
         carry.alias("c"),
         [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in cell],
-        "inner" if spread.mode == "all" else "left",
+        "inner" if cut_rows is sliced else "left",
     )
 
     def combined(name: str) -> Column:

@@ -135,7 +135,8 @@ def fanout(
     )
     sliced = messages.withColumn("_slice", slice_no(F.col("t_us")))
     present = (F.col("joined_at") <= F.col("t_us")) & (F.col("left_at").isNull() | (F.col("t_us") < F.col("left_at")))
-    return sliced.join(stays, ["room_id", "_slice"]).where(present).select(*messages.columns, "member_id")
+    # The size estimate does not know how far the stays were laid out, so never broadcast them.
+    return sliced.join(stays.hint("merge"), ["room_id", "_slice"]).where(present).select(*messages.columns, "member_id")
 
 
 def missed_deliveries(expected: DataFrame, received: DataFrame) -> DataFrame:

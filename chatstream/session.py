@@ -21,6 +21,10 @@ RUNTIME_CONF = {
 }
 
 
+#: Beyond this the bookkeeping of map outputs costs more than larger partitions do.
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
 def ship_package() -> None:
     """Send this package's functions along with each task, so workers need no copy of it."""
     register_pickle_by_value(importlib.import_module(__package__))
@@ -34,6 +38,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, bytes_per_partition: int = 128 << 20) -> int:
+    """Set the number of shuffle partitions for an input of this size.
+
+    Adaptive execution only merges partitions, so this is the upper end: 200, the
+    default, would leave half a terabyte in each for an input of 100 TB.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    partitions = min(max(cores, -(-input_bytes // bytes_per_partition)), MAX_SHUFFLE_PARTITIONS)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def build_session(app: str = "chatstream", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

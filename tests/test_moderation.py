@@ -97,3 +97,9 @@ def test_handshake_checks_in_order(spark):
     got = {r.i: (r.reject_reason, r.user_id, r.room_id) for r in moderation.check_handshakes(df).collect()}
     assert [got[i][0] for i in range(6)] == ["not_ready", "missing_user_id", "missing_room_id", "room_not_owned", None, "room_not_owned"]
     assert got[4][1:] == ("u", "r")
+
+
+def test_binary_payloads(spark):
+    data = [(0, bytearray(b'{"content":"a\xff"}')), (1, bytearray(b"x" * 4097)), (2, bytearray("{\"content\":\"é\"}".encode()))]
+    got = {r.conn_id: (r.reject_reason, r.content) for r in moderation.moderate(spark.createDataFrame(data, "conn_id long, payload binary")).collect()}
+    assert got == {0: (None, "a\ufffd"), 1: ("frame_too_large", None), 2: (None, "é")}
