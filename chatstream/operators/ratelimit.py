@@ -35,7 +35,6 @@ from chatstream.schema import DEFAULT_BURST, DEFAULT_RATE
 
 #: Stands for "full since ever"; far below any real instant.
 _FULL = -(2**62)
-_OPEN = 2**62
 
 
 def bucket_units(rate, burst: int) -> tuple[int, int]:
@@ -64,28 +63,43 @@ class SliceEffect:
     input + shift, or as ``fixed`` when that is not None.
     """
 
-    def __init__(self) -> None:
-        self.pieces: list[list] = [[_FULL, _OPEN, 0, None]]
+    def __init__(self, first_u: int, token: int, slack: int) -> None:
+        # no event up to the first one can have left the bucket emptier than this
+        self._pieces: list[list] = [[_FULL, first_u + slack + token, 0, None]]
         self._least = _FULL
-
-    def add(self, u: int, token: int, slack: int) -> None:
-        limit = u + slack
+        self._only: int | None = None  # the outcome, once every starting bucket leads to the same one
+        self.token, self.slack = token, slack
+
+    @property
+    def pieces(self) -> list[list]:
+        if self._only is None:
+            return self._pieces
+        return [[self._pieces[0][0], self._pieces[-1][1], 0, self._only]]
+
+    def add(self, u: int) -> None:
+        limit = u + self.slack
+        if self._only is not None:
+            if self._only <= limit:
+                self._only = (u if u > self._only else self._only) + self.token
+            return
         if self._least > limit:
             return  # refused from every starting bucket
         out: list[list] = []
-        for low, high, shift, fixed in self.pieces:
+        for low, high, shift, fixed in self._pieces:
             if fixed is not None:
-                self._push(out, low, high, 0, fixed if fixed > limit else max(u, fixed) + token)
+                self._push(out, low, high, 0, fixed if fixed > limit else max(u, fixed) + self.token)
                 continue
             refilled, passing = u - shift, limit - shift
             if low <= refilled:
-                self._push(out, low, min(high, refilled), 0, u + token)
+                self._push(out, low, min(high, refilled), 0, u + self.token)
             if low <= passing and high > refilled:
-                self._push(out, max(low, refilled + 1), min(high, passing), shift + token, None)
+                self._push(out, max(low, refilled + 1), min(high, passing), shift + self.token, None)
             if high > passing:
                 self._push(out, max(low, passing + 1), high, shift, None)
-        self.pieces = out
+        self._pieces = out
         self._least = min(p[3] if p[3] is not None else p[0] + p[2] for p in out)
+        if len(out) == 1:
+            self._only = out[0][3]
 
     @staticmethod
     def _push(out: list[list], low: int, high: int, shift: int, fixed) -> None:
@@ -142,9 +156,10 @@ def _slice_effects(per_us: int, token: int, slack: int):
                 if run_key != key:
                     if key is not None:
                         yield emit(key, effect)
-                    key, effect = run_key, SliceEffect()
+                    key, effect = run_key, SliceEffect(times[first] * per_us, token, slack)
+                add = effect.add
                 for t in times[first:end]:
-                    effect.add(t * per_us, token, slack)
+                    add(t * per_us)
         if key is not None:
             yield emit(key, effect)
 

@@ -66,12 +66,12 @@ def test_slices_chain_to_the_sequential_result(ms, setting, width_ms):
         cells.setdefault(t // (width_ms * 1000), []).append(t)
     full_at, got = _FULL, []
     for _, cell in sorted(cells.items()):
-        effect, inner = SliceEffect(), full_at
+        effect, inner = SliceEffect(cell[0] * per_us, token, slack), full_at
         for t in cell:
-            effect.add(t * per_us, token, slack)
+            effect.add(t * per_us)
             passed, inner = take(inner, t * per_us, token, slack)
             got.append(passed)
-        assert len(effect.pieces) <= 4 * burst + 6
+        assert len(effect.pieces) <= 2 * burst + 3
         full_at = SliceEffect.apply(effect.pieces, full_at)
         assert full_at == inner
     assert got == reference_bucket(times, rate, burst)
