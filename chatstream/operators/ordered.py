@@ -32,6 +32,12 @@ _PIECES = 1 << 20
 _LEVELS = 2
 
 
+def floor_div(c: Column, width: int) -> Column:
+    """Integer quotient rounded down, without a detour through doubles."""
+    w = F.lit(width).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, w), w)
+
+
 @dataclass(frozen=True)
 class Spread:
     """How a key's rows are cut: which keys, and into which slices of time.
@@ -73,7 +79,7 @@ class Spread:
     def add_slice(self, df: DataFrame, t_us: str) -> DataFrame:
         """Add ``_slice``, which never decreases with time."""
         width = F.lit(self.width_us).cast("bigint")
-        out = df.withColumn("_slice", F.floor((F.col(t_us) - self.origin_us) / width).cast("bigint"))
+        out = df.withColumn("_slice", floor_div(F.col(t_us) - self.origin_us, self.width_us))
         if not self.dense:
             return out
         # _rest is the place inside the slice, scaled so that every slice is width_us long
@@ -83,7 +89,7 @@ class Spread:
             out = (
                 out.join(pieces, "_slice", "left")
                 .withColumn("_rest", F.col("_rest") * F.coalesce("_pieces", F.lit(1)))
-                .withColumn("_piece", F.floor(F.col("_rest") / width).cast("bigint"))
+                .withColumn("_piece", floor_div(F.col("_rest"), self.width_us))
                 .withColumn("_slice", F.col("_slice") * _PIECES + F.col("_piece"))
                 .withColumn("_rest", F.col("_rest") - F.col("_piece") * width)
                 .drop("_pieces", "_piece")
@@ -153,6 +159,7 @@ def running(df: DataFrame, keys: list[str], t_us: str, order: list[str], want: R
     """Add the wanted running columns over ``keys`` in ``order`` (which starts with time).
 
     ``order`` must be total within a key, or equal rows may come out in any order.
+    Rows with a NULL key belong to no key: nothing is carried to them.
     """
     sliced, cut_rows = cut(df, keys, t_us, spread)
     cell = [*keys, "_slice"]
@@ -189,11 +196,8 @@ def running(df: DataFrame, keys: list[str], t_us: str, order: list[str], want: R
         *[F.expr(f"lead(_s_{o}, 1) IGNORE NULLS {_over(keys, ['_slice'])}").alias(f"_c_{o}") for o in want.next],
     )
 
-    joined = local.alias("r").join(
-        carry.alias("c"),
-        [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in cell],
-        "inner" if cut_rows is sliced else "left",
-    )
+    # Plain equality keeps the partitioning of the windowed rows, so they are not shuffled again.
+    joined = local.alias("r").join(carry.alias("c"), [F.col(f"r.{k}") == F.col(f"c.{k}") for k in cell], "left")
 
     def combined(name: str) -> Column:
         here, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")

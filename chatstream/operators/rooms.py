@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.functions.text import is_blank, trim_space
-from chatstream.operators.ordered import ALL, HOT, Running, Spread, running
+from chatstream.operators.ordered import ALL, HOT, Running, Spread, floor_div, running
 from chatstream.schema import HOUR_US
 
 #: Log positions per slice when messages of a room are numbered.
@@ -120,7 +120,7 @@ def fanout(
     still too large is split by adaptive execution.
     """
     def slice_no(c):
-        return F.floor(c / F.lit(slice_us)).cast("bigint")
+        return floor_div(c, slice_us)
 
     covering = messages if times is None else times
     span = covering.agg(F.struct(F.min("t_us").alias("first"), F.max("t_us").alias("last"))).scalar()

@@ -88,3 +88,17 @@ def test_as_of(spark, rows, width):
     assert rows(got, "i", "v") == [(1, None), (2, "x"), (3, "x"), (4, "y"), (5, "y"), (6, "z"), (7, None)]
     strictly = as_of(probes, log, ["k"], "t_us", ["v"], log_order="event_id", log_first=False, spread=spread)
     assert rows(strictly, "i", "v")[1] == (2, None) and rows(strictly, "i", "v")[3] == (4, "x")
+
+
+def test_rows_are_shuffled_once(spark, line):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = running(line, ["k"], "t_us", ["t_us", "event_id"], Running(sums={"total": "v"}, prev={"before": "w"}), Spread(width_us=1000))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows by cell; the summary by cell, by key, and back by cell
+    assert plan.count("Exchange hashpartitioning") == 4
+    whole = running(line, ["k"], "t_us", ["t_us", "event_id"], Running(sums={"total": "v"}), HOT)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
