@@ -13,7 +13,7 @@ Rows are shuffled by user, sorted, and streamed through one pass that keeps
 only the current bucket. A user who holds a large share of all rows is cut into
 time slices. A slice does not know the bucket it starts with, so a first pass
 describes each slice as a function from ``full_at`` before to ``full_at`` after
-(about 2 * burst linear pieces whatever the number of rows), the functions are
+(a few linear pieces, see ``SliceEffect``), the functions are
 chained per user, and the second pass runs all slices in parallel, each from
 its own exact starting bucket.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -59,22 +60,29 @@ def take(full_at: int, u: int, token: int, slack: int) -> tuple[bool, int]:
 class SliceEffect:
     """What a run of events does to ``full_at``, as linear pieces of the input.
 
-    A piece is [low, high, shift, fixed]: inputs in low..high come out as
-    input + shift, or as ``fixed`` when that is not None.
+    A piece is (least outcome, low, high, shift, fixed): inputs in low..high come
+    out as input + shift, or as ``fixed`` when that is not None. Pieces wait in a
+    heap by their least outcome, so an event touches only those it lets through.
+
+    With a burst of two or more there are few pieces. With a burst of one every
+    event of the first token time can be a piece of its own; each is then
+    touched once per token time.
     """
 
     def __init__(self, first_u: int, token: int, slack: int) -> None:
         # no event up to the first one can have left the bucket emptier than this
-        self._pieces: list[list] = [[_FULL, first_u + slack + token, 0, None]]
-        self._least = _FULL
+        self._heap: list[tuple] = [(_FULL, _FULL, first_u + slack + token, 0, None)]
+        self._compact_at = 16
         self._only: int | None = None  # the outcome, once every starting bucket leads to the same one
+        self.domain = (_FULL, first_u + slack + token)
         self.token, self.slack = token, slack
 
     @property
-    def pieces(self) -> list[list]:
-        if self._only is None:
-            return self._pieces
-        return [[self._pieces[0][0], self._pieces[-1][1], 0, self._only]]
+    def pieces(self) -> list[tuple]:
+        """(low, high, shift, fixed) in input order."""
+        if self._only is not None:
+            return [(*self.domain, 0, self._only)]
+        return [p[1:] for p in self._merged(self._heap)]
 
     def add(self, u: int) -> None:
         limit = u + self.slack
@@ -82,33 +90,42 @@ class SliceEffect:
             if self._only <= limit:
                 self._only = (u if u > self._only else self._only) + self.token
             return
-        if self._least > limit:
+        heap, token = self._heap, self.token
+        if heap[0][0] > limit:
             return  # refused from every starting bucket
-        out: list[list] = []
-        for low, high, shift, fixed in self._pieces:
+        out: list[tuple] = []
+        while heap and heap[0][0] <= limit:
+            least, low, high, shift, fixed = heappop(heap)
             if fixed is not None:
-                self._push(out, low, high, 0, fixed if fixed > limit else max(u, fixed) + self.token)
+                after = max(u, fixed) + token
+                out.append((after, low, high, 0, after))
                 continue
             refilled, passing = u - shift, limit - shift
             if low <= refilled:
-                self._push(out, low, min(high, refilled), 0, u + self.token)
-            if low <= passing and high > refilled:
-                self._push(out, max(low, refilled + 1), min(high, passing), shift + self.token, None)
+                out.append((u + token, low, min(high, refilled), 0, u + token))
+            if high > refilled:
+                start = max(low, refilled + 1)
+                out.append((start + shift + token, start, min(high, passing), shift + token, None))
             if high > passing:
-                self._push(out, max(low, passing + 1), high, shift, None)
-        self._pieces = out
-        self._least = min(p[3] if p[3] is not None else p[0] + p[2] for p in out)
-        if len(out) == 1:
-            self._only = out[0][3]
+                out.append((passing + 1 + shift, passing + 1, high, shift, None))
+        if not heap or len(heap) + len(out) > self._compact_at:
+            out = self._merged([*heap, *out])
+            heap.clear()
+            self._compact_at = 2 * len(out) + 16
+            if len(out) == 1:
+                self._only = out[0][4]
+        for piece in out:
+            heappush(heap, piece)
 
     @staticmethod
-    def _push(out: list[list], low: int, high: int, shift: int, fixed) -> None:
-        if low > high:
-            return
-        if out and out[-1][2] == shift and out[-1][3] == fixed:
-            out[-1][1] = high
-        else:
-            out.append([low, high, shift, fixed])
+    def _merged(pieces: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for least, low, high, shift, fixed in sorted(pieces, key=lambda p: p[1]):
+            if out and out[-1][3] == shift and out[-1][4] == fixed:
+                out[-1] = (out[-1][0], out[-1][1], high, shift, fixed)
+            else:
+                out.append((least, low, high, shift, fixed))
+        return out
 
     @staticmethod
     def apply(pieces, full_at: int) -> int:
