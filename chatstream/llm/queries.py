@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatstream.llm import chat_examples, pieces, warc
+from chatstream.llm import chat_examples, minhash, pieces, warc
 from chatstream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +37,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.formatted_digest(rows.unionByName(extra))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_warc, op9_sentencepiece, op10_chat_examples)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_warc, op7_minhash, op9_sentencepiece, op10_chat_examples)}
 
 ORACLE: dict[str, str] = {
     "op10_chat_examples": r"""
