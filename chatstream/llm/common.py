@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatstream.session import ship_package, stored
 
-__all__ = ["read", "stored", "text_or_empty"]
+__all__ = ["once", "read", "stored", "text_or_empty"]
+
+
+def once(key: str, make: Callable[[], Any]) -> Any:
+    """A table or model that a worker process builds once, however many tasks it runs."""
+    kept = sys.__dict__.setdefault("_chatstream_llm", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -12,7 +12,6 @@ encoded whole; memory is bounded by ``SLICE_CHARS`` or the longest single text.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -22,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chatstream.llm.common import text_or_empty
+from chatstream.llm.common import once, text_or_empty
 
 MARK = "▁"
 #: Code points that are encoded together, unless one text is longer.
@@ -250,11 +249,7 @@ def _hashes(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 def pieces_of(model: bytes) -> Pieces:
     """One vocabulary per worker process, however many tasks it runs."""
-    kept = sys.__dict__.setdefault("_piece_vocabularies", {})
-    key = hashlib.sha256(model).digest()
-    if key not in kept:
-        kept[key] = Pieces(model)
-    return kept[key]
+    return once(hashlib.sha256(model).hexdigest(), lambda: Pieces(model))
 
 
 def read_model(path: str) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatstream.llm import chat_examples, minhash, pieces, warc
+from chatstream.llm import chat_examples, edit_fingerprint, minhash, pieces, warc
 from chatstream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,7 +41,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.formatted_digest(rows.unionByName(extra))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_warc, op7_minhash, op9_sentencepiece, op10_chat_examples)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_warc, op7_minhash, op8_edit_fingerprints, op9_sentencepiece, op10_chat_examples)}
 
 ORACLE: dict[str, str] = {
     "op10_chat_examples": r"""
