@@ -1,9 +1,10 @@
 """Linking rows that share buckets, and connected components by alternating large-star and small-star.
 
 Nothing here emits all pairs of a bucket or gathers a bucket, a component or the links in one place. A bucket is first
-compared with two pivots, then (only where more than one component is left in it) with one pivot for each of up to
-``SALTS`` groups of its components, until all members that are not in one component have been compared. Members that
-have been pivots leave the bucket, so every pair of a bucket that is not already connected is looked at in the end.
+compared with two pivots. Where more than one component is left in it, every member is a pivot if the bucket is small, and
+one member for each of up to ``SALTS`` groups of its components otherwise, until all members that are not in one component
+have been compared. Members that have been pivots leave the bucket, so every pair of a bucket that is not already
+connected is looked at in the end.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
 
-SALTS = 32
+SALTS, SMALL = 32, 64
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -30,16 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are harmless. Nodes without an edge to another node are left out.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    told = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stored(_stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         small = _stars(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = stored(small.filter("u <> v").distinct(), "small")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == told:
+        # done when the edges are stars: each node with an edge to a smaller one has only that, and its end has none
+        ends = now.groupBy("u").agg(F.count("*").alias("n")).join(now.select(F.col("v").alias("u")).distinct().withColumn("end", F.lit(True)), "u", "left")
+        if ends.filter("n > 1 or end").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        told = state
 
 
 def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -54,15 +54,17 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     members = members.filter("node <> low and node <> high").select("bucket", "node")
     while True:
         known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "open")
+        open_ = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", "n"), "open")
         if open_.isEmpty():
             return found
-        rows = stored(known.join(open_, "bucket").withColumn("salt", F.pmod(F.hash("component"), F.lit(SALTS))), "rows")
+        salt = F.when(F.col("n") <= SMALL, F.col("node")).otherwise(F.pmod(F.hash("component"), F.lit(SALTS)).cast("long"))
+        rows = stored(known.join(open_, "bucket").withColumn("salt", salt), "rows")
         pivots = stored(rows.groupBy("bucket", "salt").agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "pivots")
         pairs = rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot")
         links = stored(verify(_ordered(pairs)), "links")
-        found = components(links.select("a", "b").union(found.select("node", "component")))
-        members = stored(rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "members")
+        if not links.isEmpty():
+            found = components(links.select("a", "b").union(found.select("node", "component")))
+        members = stored(rows.filter(F.col("n") > SMALL).join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "members")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         return 100 * both >= percent * (len(a) + len(b) - both)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        likely = stored(_filtered(_with_both(stored(pairs, "pairs"), chosen, "signature"), near, "a long, b long").distinct(), "likely")
+        likely = stored(_filtered(_with_both(pairs, chosen, "signature"), near, "a long, b long").distinct(), "likely")
         ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
         return _filtered(_with_both(likely, stored(full_sets(texts, words), "full"), "hashes"), similar, "a long, b long")
