@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatstream.llm import chat_examples, edit_fingerprint, html_templates, langid, minhash, pieces, warc
+from chatstream.llm import chat_examples, edit_fingerprint, html_templates, langid, minhash, pieces, pii, warc
 from chatstream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit(documents))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.formatted_digest(rows.unionByName(extra))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_templates, op2_langid, op6_warc, op7_minhash, op8_edit_fingerprints, op9_sentencepiece, op10_chat_examples)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_templates, op2_langid, op5_pii, op6_warc, op7_minhash, op8_edit_fingerprints, op9_sentencepiece, op10_chat_examples)}
 
 ORACLE: dict[str, str] = {
     "op10_chat_examples": r"""
