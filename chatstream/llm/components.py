@@ -1,22 +1,25 @@
 """Linking rows that share buckets, and connected components by alternating large-star and small-star.
 
 Nothing here emits all pairs of a bucket or gathers a bucket, a component or the links in one place. A bucket is first
-compared with two pivots. Where more than one component is left in it, every member is a pivot if the bucket is small, and
-one member for each of up to ``SALTS`` groups of its components otherwise, until all members that are not in one component
-have been compared. Members that have been pivots leave the bucket, so every pair of a bucket that is not already
-connected is looked at in the end.
+compared with two pivots, then, where it still holds more than one component, with one member for each of up to ``SALTS``
+groups of its components: that settles a large group of copies among a few others. What is left are families of rows that
+are alike but not linked. There, signatures are compared in blocks of a bounded number of members, and only pairs of
+different components whose signatures agree come out. Members that have been pivots have met the whole bucket, so in the
+end every pair of a bucket that is not already connected has been compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
 
-SALTS, SMALL = 32, 64
+SALTS, BLOCK = 32, 512
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -42,30 +45,90 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of all nodes of which ``verify`` confirms a link within a bucket.
+def linked_components(buckets: DataFrame, signatures: DataFrame, kind: type, least: int, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Components (see there) of all nodes that are linked within a bucket.
 
-    ``buckets`` has (bucket, node); ``verify`` gets distinct pairs (a, b), a < b, and returns those that are links.
+    ``buckets`` has (bucket, node), ``signatures`` (node, signature): arrays of ``kind`` as bytes, of which ``least``
+    values have to be equal. ``confirm`` gets such pairs (a, b), a < b, and returns those that are links; without it all are.
     """
+    confirm = confirm or (lambda pairs: pairs)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return stored(confirm(stored(_agreeing(_ordered(pairs), signatures, kind, least), "likely")), "links")
+
     ends = stored(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
     members = stored(buckets.join(ends, "bucket"), "members")
-    pairs = members.select("node", F.explode(F.array("low", "high")).alias("pivot"))
-    found = components(stored(verify(_ordered(pairs)), "links"))
-    members = members.filter("node <> low and node <> high").select("bucket", "node")
-    while True:
-        known = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", "n"), "open")
-        if open_.isEmpty():
-            return found
-        salt = F.when(F.col("n") <= SMALL, F.col("node")).otherwise(F.pmod(F.hash("component"), F.lit(SALTS)).cast("long"))
-        rows = stored(known.join(open_, "bucket").withColumn("salt", salt), "rows")
-        pivots = stored(rows.groupBy("bucket", "salt").agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "pivots")
-        pairs = rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot")
-        links = stored(verify(_ordered(pairs)), "links")
-        if not links.isEmpty():
-            found = components(links.select("a", "b").union(found.select("node", "component")))
-        members = stored(rows.filter(F.col("n") > SMALL).join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "members")
+    found = components(links(members.select("node", F.explode(F.array("low", "high")).alias("pivot"))))
+    rows = _open(members.filter("node <> low and node <> high").select("bucket", "node"), found)
+    if rows.isEmpty():
+        return found
+    rows = rows.withColumn("salt", F.pmod(F.hash("component"), F.lit(SALTS)))
+    pivots = stored(rows.groupBy("bucket", "salt").agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "pivots")
+    more = links(rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot"))
+    if not more.isEmpty():
+        found = components(more.union(found.select("node", "component")))
+    rows = _open(rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), found)
+    if rows.isEmpty():
+        return found
+    more = stored(confirm(stored(_blocks(rows, signatures, kind, least).distinct(), "likely")), "links")
+    return found if more.isEmpty() else components(more.union(found.select("node", "component")))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, component and n (members) of the buckets that hold more than one component."""
+    known = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", "n"), "open")
+    return stored(known.join(several, "bucket"), "rows")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _agreeing(pairs: DataFrame, signatures: DataFrame, kind: type, least: int) -> DataFrame:
+    first, second = (signatures.select(F.col("node").alias(k), F.col("signature").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [np.count_nonzero(np.frombuffer(x.as_buffer(), kind) == np.frombuffer(y.as_buffer(), kind)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array([n >= least for n in same], pa.bool_()))
+
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int) -> DataFrame:
+    """Pairs of different components with agreeing signatures, each bucket's blocks of members compared two by two."""
+    of = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), of)
+    dealt = rows.select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
+    dealt = dealt.join(signatures, "node").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compared(held: list[tuple]) -> list[tuple[int, int]]:
+        i, j = held[0][1], held[0][2]
+        table = np.array([np.frombuffer(r[6], kind) for r in held])
+        own, node, component = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5))
+        right = np.flatnonzero(own == j)
+        out = []
+        for k in np.flatnonzero(own == i).tolist():
+            with_ = right[(component[right] != component[k]) & ((node[right] > node[k]) | (i != j))]
+            near = with_[(table[with_] == table[k]).sum(1) >= least]
+            out.extend((min(int(node[k]), n), max(int(node[k]), n)) for n in node[near].tolist())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield _pairs(compared(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield _pairs(compared(held))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])

@@ -187,13 +187,7 @@ def near_groups(prints: DataFrame, least: float = 0.8) -> DataFrame:
     known = prints.select("doc_id", "fingerprint")
     same = stored(known.filter("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "prints")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    enough = (least * 15 / 16 + 1 / 16) * SAMPLES
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(same.select(F.col("node").alias("a"), F.col("fingerprint").alias("x")), "a").join(same.select(F.col("node").alias("b"), F.col("fingerprint").alias("y")), "b")
-        equal = SAMPLES - F.aggregate(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: (p != q).cast("int")), F.lit(0), lambda s, d: s + d)
-        return both.filter(equal >= enough).select("a", "b")
-
-    found = linked_components(same.select(F.explode(bands).alias("bucket"), "node"), verify)
+    enough = int(np.ceil((least * 15 / 16 + 1 / 16) * SAMPLES))
+    found = linked_components(same.select(F.explode(bands).alias("bucket"), "node"), same.select("node", F.col("fingerprint").cast("binary").alias("signature")), np.uint8, enough)
     roots = stored(same.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group_id")), "groups")
     return known.join(roots, "fingerprint", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))

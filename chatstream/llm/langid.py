@@ -109,7 +109,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[np.ndarray, np.ndarray]:
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = ALPHA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias by FTRL-proximal over the rows (buckets, values, class); the bias is not penalised."""
     size = (1 << BITS) + 1
     z, n = np.zeros((classes, size)), np.zeros((classes, size))
@@ -117,8 +117,8 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int)
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[:, at]
-        shrunk = np.sign(zs) * np.maximum(np.abs(zs) - np.where(at == size - 1, 0, L1), 0)
-        return -shrunk / ((BETA + np.sqrt(n[:, at])) / ALPHA + L2)
+        shrunk = np.sign(zs) * np.maximum(np.abs(zs) - np.where(at == size - 1, 0, l1), 0)
+        return -shrunk / ((BETA + np.sqrt(n[:, at])) / alpha + l2)
 
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
@@ -130,7 +130,7 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int)
             g = error[:, None] * x
             before = n[:, at]
             after = before + g * g
-            z[:, at] += g - (np.sqrt(after) - np.sqrt(before)) / ALPHA * w
+            z[:, at] += g - (np.sqrt(after) - np.sqrt(before)) / alpha * w
             n[:, at] = after
     w = weights(np.arange(size))
     return w[:, :-1], w[:, -1]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
-from chatstream.llm.components import linked_components
+from chatstream.llm.components import components, linked_components
 
 BANDS, ROWS = 32, 4
 #: Bytes of text that are cut into words together, unless one text is longer.
@@ -168,25 +168,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     agree = int(np.ceil(least * BANDS * ROWS))
 
-    def near(x, y) -> bool:
-        return np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= agree
-
     def similar(x, y) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = stored(_filtered(_with_both(pairs, chosen, "signature"), near, "a long, b long").distinct(), "likely")
+    def confirm(likely: DataFrame) -> DataFrame:
         ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-        return _filtered(_with_both(likely, stored(full_sets(texts, words), "full"), "hashes"), similar, "a long, b long")
+        return _filtered(_with_both(likely, stored(full_sets(texts, words), "full"), "hashes"), similar, "a long, b long").distinct()
 
     several = nodes.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
-    found = linked_components(chosen.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")), verify)
+    node = F.col("doc_id").alias("node")
+    found = linked_components(chosen.select(F.explode("bands").alias("bucket"), node), chosen.select(node, "signature"), np.uint16, agree, confirm)
     if not (several := stored(several, "several")).isEmpty():  # ids that come with more than one text
-        from chatstream.llm.components import components
-
         ties = nodes.join(several, "doc_id", "left_semi").join(sets.withColumnRenamed("doc_id", "b"), "set_key").select(F.col("doc_id").alias("a"), "b")
         found = components(ties.union(found))
     root = sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatstream.llm import chat_examples, edit_fingerprint, html_templates, langid, minhash, pieces, pii, warc
+from chatstream.llm import chat_examples, decontaminate, edit_fingerprint, html_templates, langid, minhash, pieces, pii, warc, weak_quality
 from chatstream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,16 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit(documents))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.marked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    scorer = weak_quality.train(documents, read(spark, sf_dir, "labels"))
+    return weak_quality.scored(documents.select("doc_id", "text"), scorer).select("doc_id", "low", "toxic", "kept")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_digest(read(spark, sf_dir, "documents"))
 
@@ -54,7 +64,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.formatted_digest(rows.unionByName(extra))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_templates, op2_langid, op5_pii, op6_warc, op7_minhash, op8_edit_fingerprints, op9_sentencepiece, op10_chat_examples)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_templates, op2_langid, op3_decontaminate, op4_quality, op5_pii, op6_warc, op7_minhash, op8_edit_fingerprints, op9_sentencepiece, op10_chat_examples)}
 
 ORACLE: dict[str, str] = {
     "op10_chat_examples": r"""
