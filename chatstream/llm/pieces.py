@@ -227,8 +227,9 @@ class Pieces:
             if (theirs := self.library.encode(texts, num_threads=1)) != wanted:
                 at = next(k for k, (x, y) in enumerate(zip(theirs, wanted, strict=True)) if x != y)
                 raise AssertionError(f"{what} segment {texts[at]!r}: {wanted[at]}, the library has {theirs[at]}")
-        if self.library.decode(expected, num_threads=1) != bare or self.library.decode([mine[s] for s in inner], num_threads=1) != inner:
-            raise AssertionError("the library decodes a segment in another way")
+        for texts, found in ((bare, expected), (inner, [mine[s] for s in inner])):
+            if texts and self.library.decode(found, num_threads=1) != texts:  # without ids it gives one empty text
+                raise AssertionError("the library decodes a segment in another way")
 
 
 def _text(points: np.ndarray) -> str:
