@@ -2,8 +2,8 @@
 
 Texts and benchmark items become templates: numbers, units after numbers and names (words with a capital inside a sentence, not all capitals)
 are typed placeholders, everything else lower-case words. Windows of the templates are hash-joined. Each hit gives a
-shift between a document and an item; along it the templates are compared word by word, and what stands in the slots
-must map one to one from the item's values to the document's. A question whose numbers and names were exchanged is
+shift between a document and an item; along it the templates are compared word by word (any word fills the slot of a
+name), and what stands in the slots must map one to one from the item's values to the document's. A question whose numbers and names were exchanged is
 found, two that share a phrase are not.
 """
 
@@ -63,9 +63,13 @@ def _slots(words: Column) -> Column:
 
 
 def prepared(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (template words), values (normal words) of the items that can be told."""
-    rows = benchmark.select("item_id", pinned(normal(text_or_empty("text"))).alias("n"))
-    rows = rows.select("item_id", split(template(F.col("n"))).alias("item"), split(F.col("n")).alias("values"))
+    """item_id, typed, item (template words), values (normal words) of the items that can be told.
+
+    An item with names comes twice: typed, and in lower case, where names are plain words.
+    """
+    text = text_or_empty("text")
+    rows = benchmark.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("typed"), normal(text).alias("n")), F.struct(F.lit(False).alias("typed"), normal(F.lower(text)).alias("n")))).alias("v"))
+    rows = rows.select("item_id", "v.typed", split(template(F.col("v.n"))).alias("item"), split(F.col("v.n")).alias("values"))
     return rows.filter((F.size("item") >= LEAST_WORDS) & (_slots(F.col("item")) <= (1 - LITERAL) * F.size("item")))
 
 
@@ -83,7 +87,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in sorted(sizes):
         known = items.filter(length == size).select("item_id", F.explode(_windows(F.col("item"), size, 1)).alias("w"), "item")
         known = known.filter(_slots(F.slice("item", F.col("w.at") + 1, F.lit(size))) <= (1 - LITERAL) * size)
-        known = stored(known.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")), "windows")
+        known = stored(known.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")).distinct(), "windows")
         if known.count() <= BROADCAST_WINDOWS:
             known = F.broadcast(known)
         asked = texts.select("doc_id", F.explode(_windows(F.col("words"), size, STRIDE if size == WINDOW else 1)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
@@ -95,11 +99,11 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = stored(found.select("doc_id").distinct(), "wanted")
     rows = documents.select("doc_id", pinned(normal(text_or_empty("text"))).alias("n")).join(wanted, "doc_id", "left_semi")
     rows = rows.select("doc_id", pinned(split(template(F.col("n")))).alias("words"), pinned(split(F.col("n"))).alias("said"))
-    pairs = rows.join(found, "doc_id").join(items, "item_id")
-    places = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get("words", i + F.col("shift")) == F.get("item", i))
+    pairs = rows.join(found, "doc_id").join(items.filter("typed"), "item_id")
+    places = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: (F.get("words", i + F.col("shift")) == F.get("item", i)) | ((F.get("item", i) == NAME) & F.get("words", i + F.col("shift")).isNotNull()))
     pairs = pairs.withColumn("places", pinned(places))
     slots = F.filter("places", lambda i: F.get("item", i).isin(NUMBER, NAME, UNIT))
-    held = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("values", i).alias("mine"), F.get("said", i + F.col("shift")).alias("theirs"))))
+    held = F.array_distinct(F.transform(slots, lambda i: F.struct(F.replace(F.get("values", i), F.lit(NAME), F.lit("")).alias("mine"), F.replace(F.get("said", i + F.col("shift")), F.lit(NAME), F.lit("")).alias("theirs"))))
     pairs = pairs.select("doc_id", "item_id", F.size("item").alias("length"), "places", pinned(held).alias("held"))
     distinct = lambda name: F.size(F.array_distinct(F.transform("held", lambda h: h[name])))
     consistent = pairs.filter((distinct("mine") == F.size("held")) & (distinct("theirs") == F.size("held")))

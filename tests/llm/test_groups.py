@@ -136,19 +136,19 @@ def test_few_edits_keep_a_fingerprint_and_find_each_other(spark):
 
 def test_decontamination(spark):
     items = [
-        (1, "Anna buys 12 apples for 3 dollars each and then Anna sells 5 of them to her neighbour before noon."),
+        (1, "When Anna buys 12 apples for 3 dollars each and then Anna sells 5 of them to her neighbour before noon."),
         (2, "the quick brown fox jumps over the lazy dog while nobody looks at it"), (3, "too short"), (4, None), (5, "what is the capital of peru"),
     ]
-    first = "Today Bob buys 40 apples for 7 dollars each and then Bob sells 9 of them to her neighbour before noon. End"
+    first = "When Bob buys 40 apples for 7 dollars each and then Bob sells 9 of them to her neighbour before noon. End"
     docs = [
         (10, first), (11, first.replace("then Bob", "then Carl")), (12, "x " * 3000 + "THE QUICK BROWN FOX, JUMPS over the lazy\ndog while nobody looks at it%%% yes"),
-        (13, "the quick brown fox jumps over the lazy cat as every child in this town will tell you"), (14, None), (15, ""), (16, "well, what is the capital of Peru?"),
-        (16, "well, what is the capital of Peru?"), (None, items[1][1]), (17, "12 13 14 15 16 17 18 19 20 21 22 23 24 25"),
+        (13, "the quick brown fox jumps over the lazy cat as every child in this town will tell you"), (14, None), (15, ""), (16, "well, what is the capital of peru?"),
+        (16, "well, what is the capital of peru?"), (None, items[1][1]), (18, "when anna buys 12 apples for 3 dollars each and then anna sells 5 of them to her neighbour before noon"), (17, "12 13 14 15 16 17 18 19 20 21 22 23 24 25"),
     ]
     frame = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("x")).withColumn("words", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     found = [(r.doc_id, r.contaminated, r.item_ids) for r in decontaminate.marked(frame, bench).collect()]
-    assert sorted(f for f in found if f[1]) == [(10, True, [1]), (12, True, [2]), (16, True, [5]), (16, True, [5])]
+    assert sorted(f for f in found if f[1]) == [(10, True, [1]), (12, True, [2]), (16, True, [5]), (16, True, [5]), (18, True, [1])]
     assert len(found) == len(docs)
     left = decontaminate.clean(frame, bench)
     assert left.columns == frame.columns and left.count() == 6
