@@ -1,11 +1,11 @@
 """Linking rows that share buckets, and connected components by alternating large-star and small-star.
 
-Nothing here emits all pairs of a bucket or gathers a bucket, a component or the links in one place. A bucket is first
-compared with two pivots, then, where it still holds more than one component, with one member for each of up to ``SALTS``
-groups of its components: that settles a large group of copies among a few others. What is left are families of rows that
-are alike but not linked. There, signatures are compared in blocks of a bounded number of members, and only pairs of
-different components whose signatures agree come out. Members that have been pivots have met the whole bucket, so in the
-end every pair of a bucket that is not already connected has been compared.
+Nothing here emits all pairs of a bucket or gathers a bucket, a component or the links in one place. Each member is first
+compared with one pivot, then with the two pivots of each of its buckets that are not in its component yet. A bucket that
+still holds more than one component is compared with one member for each of up to ``SALTS`` groups of its components: that
+settles a large group of copies among a few others. What is left are families of rows that are alike but not linked. They
+are compared in blocks of a bounded number of members, and only links come out. Members that have been pivots have met the
+whole bucket, so in the end every pair of a bucket that is not already connected has been compared.
 """
 
 from __future__ import annotations
@@ -45,33 +45,68 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def linked_components(buckets: DataFrame, signatures: DataFrame, kind: type, least: int, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+Similar = Callable[[memoryview, memoryview], bool]
+
+
+def linked_components(
+    buckets: DataFrame, signatures: DataFrame, kind: type, least: int,
+    contents: Callable[[DataFrame], DataFrame] | None = None, similar: Similar | None = None,
+) -> DataFrame:
     """Components (see there) of all nodes that are linked within a bucket.
 
     ``buckets`` has (bucket, node), ``signatures`` (node, signature): arrays of ``kind`` as bytes, of which ``least``
-    values have to be equal. ``confirm`` gets such pairs (a, b), a < b, and returns those that are links; without it all are.
+    values have to be equal in a link. ``contents`` gives (node, content) for a table of nodes, and ``similar`` says of
+    two contents whether they are linked; without them the signatures decide.
     """
-    confirm = confirm or (lambda pairs: pairs)
+    ends = stored(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
+    members = stored(buckets.join(ends, "bucket"), "members")
+    held = None
+    if contents is not None:
+        held = stored(contents(members.select("node").distinct()), "contents")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return stored(confirm(stored(_agreeing(_ordered(pairs), signatures, kind, least), "likely")), "links")
+        near = _agreeing(pairs, signatures, kind, least)
+        return stored(near if held is None else _similar(stored(near, "likely"), held, similar), "links")
 
-    ends = stored(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
-    members = stored(buckets.join(ends, "bucket"), "members")
-    found = components(links(members.select("node", F.explode(F.array("low", "high")).alias("pivot"))))
+    def with_links(found: DataFrame, more: DataFrame) -> DataFrame:
+        return found if more.isEmpty() else components(more.union(found.select("node", "component")))
+
+    found = components(links(_ordered(members.groupBy("node").agg(F.min("low").alias("pivot")))))
+    pairs = members.select("node", F.explode(F.array("low", "high")).alias("pivot"))
+    found = with_links(found, links(_apart(_ordered(pairs), found)))
     rows = _open(members.filter("node <> low and node <> high").select("bucket", "node"), found)
     if rows.isEmpty():
         return found
     rows = rows.withColumn("salt", F.pmod(F.hash("component"), F.lit(SALTS)))
     pivots = stored(rows.groupBy("bucket", "salt").agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "pivots")
-    more = links(rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot"))
-    if not more.isEmpty():
-        found = components(more.union(found.select("node", "component")))
+    found = with_links(found, links(_ordered(rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot"))))
     rows = _open(rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), found)
     if rows.isEmpty():
         return found
-    more = stored(confirm(stored(_blocks(rows, signatures, kind, least).distinct(), "likely")), "links")
-    return found if more.isEmpty() else components(more.union(found.select("node", "component")))
+    # members that share open buckets, directly or not, meet once and not in each bucket
+    lowest = stored(rows.groupBy("bucket").agg(F.min("node").alias("b")), "lowest")
+    family = components(rows.join(lowest, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "family")
+    rows = stored(rows.select("node", "component").distinct().join(family, "node"), "family")
+    sizes = stored(rows.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    return with_links(found, stored(_blocks(rows.join(sizes, "family"), signatures, kind, least, held, similar).distinct(), "links"))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one component."""
+    first, second = (found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
+    both = pairs.join(first, "a", "left").join(second, "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _similar(pairs: DataFrame, held: DataFrame, similar: Similar) -> DataFrame:
+    first, second = (held.select(F.col("node").alias(k), F.col("content").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -96,15 +131,17 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, kind: type, least: int) -
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int) -> DataFrame:
-    """Pairs of different components with agreeing signatures, each bucket's blocks of members compared two by two."""
+def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int, held: DataFrame | None, similar: Similar | None) -> DataFrame:
+    """Links between different components, each family's blocks of members compared two by two."""
     of = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), of)
-    dealt = rows.select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
-    dealt = dealt.join(signatures, "node").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    known = rows.join(signatures, "node")
+    known = known.withColumn("content", F.lit(None).cast("binary")) if held is None else known.join(held, "node")
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "content")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
-    def compared(held: list[tuple]) -> list[tuple[int, int]]:
+    def compared(held: list[tuple]) -> list[list[int]]:
         i, j = held[0][1], held[0][2]
         table = np.array([np.frombuffer(r[6], kind) for r in held])
         own, node, component = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5))
@@ -112,8 +149,8 @@ def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int) -> D
         out = []
         for k in np.flatnonzero(own == i).tolist():
             with_ = right[(component[right] != component[k]) & ((node[right] > node[k]) | (i != j))]
-            near = with_[(table[with_] == table[k]).sum(1) >= least]
-            out.extend((min(int(node[k]), n), max(int(node[k]), n)) for n in node[near].tolist())
+            near = with_[(table[with_] == table[k]).sum(1) >= least].tolist()
+            out.extend(sorted((int(node[k]), int(node[n]))) for n in near if similar is None or similar(held[k][7], held[n][7]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,5 +167,5 @@ def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(pairs: list[list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])

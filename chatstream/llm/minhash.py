@@ -22,7 +22,7 @@ BANDS, ROWS = 32, 4
 #: Bytes of text that are cut into words together, unless one text is longer.
 SLICE_BYTES = 4_000_000
 #: Standard deviations that a signature's estimate may lie below the threshold before a pair is given up.
-SLACK = 6.0
+SLACK = 4.5
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,23 +136,6 @@ def signatures(documents: DataFrame, words: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _filtered(pairs: DataFrame, keep, schema: str) -> DataFrame:
-    """Rows (a, b) of (a, b, x, y) for which keep(x, y) holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = [keep(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
-
-    return pairs.mapInArrow(run, schema)
-
-
-def _with_both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): the pairs with the column of both documents."""
-    first, second = (side.select(F.col("doc_id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-
-
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row.
 
@@ -173,14 +156,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def confirm(likely: DataFrame) -> DataFrame:
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-        return _filtered(_with_both(likely, stored(full_sets(texts, words), "full"), "hashes"), similar, "a long, b long").distinct()
+    def contents(ids: DataFrame) -> DataFrame:
+        texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+        return full_sets(texts.join(ids, "node", "left_semi"), words)
 
     several = nodes.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
     node = F.col("doc_id").alias("node")
-    found = linked_components(chosen.select(F.explode("bands").alias("bucket"), node), chosen.select(node, "signature"), np.uint16, agree, confirm)
+    found = linked_components(chosen.select(F.explode("bands").alias("bucket"), node), chosen.select(node, "signature"), np.uint16, agree, contents, similar)
     if not (several := stored(several, "several")).isEmpty():  # ids that come with more than one text
         ties = nodes.join(several, "doc_id", "left_semi").join(sets.withColumnRenamed("doc_id", "b"), "set_key").select(F.col("doc_id").alias("a"), "b")
         found = components(ties.union(found))
@@ -191,13 +173,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id and hashes (the whole sorted set as bytes) of each row."""
+    """node and content (the whole sorted set as bytes) of each row (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
             for start, some in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), pa.array([h.tobytes() for h in shingle_sets(some, words)], pa.binary())], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), pa.array([h.tobytes() for h in shingle_sets(some, words)], pa.binary())], names=["node", "content"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, content binary")
