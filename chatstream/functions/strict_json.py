@@ -107,6 +107,11 @@ def uint64_field(text: str, field: str) -> tuple[Column, Column]:
 
 def instant(value: Column) -> tuple[Column, Column]:
     """(is legal, timestamp) of an RFC 3339 text; NULL text and year-1 zero read as NULL."""
-    parsed = F.when(value.rlike(_RFC3339), F.try_to_timestamp(value))
+    zone = r"(?:Z|([+-])(\d{2}):(\d{2}))$"
+    local = F.when(value.rlike(_RFC3339), F.try_to_timestamp(F.regexp_replace(value, zone, "Z")))
+    hours, minutes = (F.coalesce(F.regexp_extract(value, zone, k).try_cast("int"), F.lit(0)) for k in (2, 3))
+    # the session's own reader stops at 18 hours
+    ahead = (hours * 60 + minutes).cast("bigint") * F.when(F.regexp_extract(value, zone, 1) == "-", -60_000_000).otherwise(60_000_000)
+    parsed = F.when((hours < 24) & (minutes < 60), F.timestamp_micros(F.unix_micros(local) - ahead))
     legal = value.isNull() | parsed.isNotNull()
     return legal, F.when(parsed != F.to_timestamp(F.lit(_ZERO_TIME)), parsed)

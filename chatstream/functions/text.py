@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Above this many words one automaton pass beats a chain of substring tests.
-LITERAL_WORDS = 64
+#: The characters that ``trim_space`` strips.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(c: Column) -> Column:
@@ -38,7 +35,7 @@ def clean_words(words: Column) -> Column:
 
 
 def _normalize_py(word: str) -> str:
-    return word.strip().replace("İ", "i").replace("Σ", "σ").lower()
+    return word.strip(WHITE_SPACE).replace("İ", "i").replace("Σ", "σ").lower()
 
 
 def first_match(content: Column, dictionary: list[str]) -> Column:
@@ -49,23 +46,5 @@ def first_match(content: Column, dictionary: list[str]) -> Column:
     # A cleaned word starts and ends with a visible character, so trimming the
     # content cannot change what it contains.
     text = lower_simple(content)
-    if len(words) <= LITERAL_WORDS:
-        return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
-    return _automaton_match(words)(text)
-
-
-def _automaton_match(words: list[str]):
-    @F.pandas_udf("string")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for position, word in enumerate(words):
-            if word not in automaton:
-                automaton.add_word(word, position)
-        automaton.make_automaton()
-        for texts in batches:
-            found = [min((p for _, p in automaton.iter(t)), default=None) if t else None for t in texts]
-            yield pd.Series([None if p is None else words[p] for p in found], dtype=object)
-
-    return match
+    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return F.when(content.isNotNull(), F.get(found, F.lit(0)))

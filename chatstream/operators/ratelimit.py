@@ -35,7 +35,7 @@ from chatstream.operators.ordered import HOT, Spread, cut
 from chatstream.schema import DEFAULT_BURST, DEFAULT_RATE
 
 #: Stands for "full since ever"; far below any real instant.
-_FULL = -(2**62)
+_FULL = -(10**60)
 
 
 def bucket_units(rate, burst: int) -> tuple[int, int]:
@@ -45,8 +45,6 @@ def bucket_units(rate, burst: int) -> tuple[int, int]:
         raise ValueError("rate must be greater than zero")
     if burst <= 0:
         raise ValueError("burst must be greater than zero")
-    if exact.numerator > 1_000:
-        raise ValueError("write the rate as a fraction with a smaller numerator")
     return exact.numerator, exact.denominator * 1_000_000
 
 
@@ -152,14 +150,15 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
 
 _CELL = ["_user", "_slice"]
 _PIECE = ("low", "high", "shift", "fixed")
-_EFFECT = f"_user string, _slice bigint, pieces array<struct<{', '.join(f'{p}: bigint' for p in _PIECE)}>>"
+_EFFECT = f"_user string, _slice bigint, pieces array<struct<{', '.join(f'{p}: string' for p in _PIECE)}>>"
 
 
 def _slice_effects(per_us: int, token: int, slack: int):
-    pieces_type = pa.list_(pa.struct([(p, pa.int64()) for p in _PIECE]))
+    pieces_type = pa.list_(pa.struct([(p, pa.string()) for p in _PIECE]))
 
     def emit(key, effect):
-        pieces = [dict(zip(_PIECE, p)) for p in effect.pieces]
+        # integers beyond 64 bits: a rate may have any numerator
+        pieces = [{n: None if v is None else str(v) for n, v in zip(_PIECE, p)} for p in effect.pieces]
         return pa.RecordBatch.from_arrays(
             [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([pieces], pieces_type)],
             names=[*_CELL, "pieces"],
@@ -192,10 +191,10 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, pieces in zip(rows["_user"], rows["pieces"]):
             if u != user:
                 user, full_at = u, _FULL
-            starts.append(full_at)
-            full_at = SliceEffect.apply([tuple(p[n] for n in _PIECE) for p in pieces], full_at)
+            starts.append(str(full_at))
+            full_at = SliceEffect.apply([tuple(None if p[n] is None else int(p[n]) for n in _PIECE) for p in pieces], full_at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_user"), batch.column("_slice"), pa.array(starts, pa.int64())], names=[*_CELL, "_start"]
+            [batch.column("_user"), batch.column("_slice"), pa.array(starts, pa.string())], names=[*_CELL, "_start"]
         )
 
 
@@ -210,7 +209,7 @@ def _decide(per_us: int, token: int, slack: int, kept: list[str]):
             for run_key, first, end in _runs(batch):
                 if run_key != key:
                     carried = start[first].as_py()
-                    key, full_at = run_key, (_FULL if carried is None else carried)
+                    key, full_at = run_key, (_FULL if carried is None else int(carried))
                 for t, charge in zip(times[first:end], charged[first:end]):
                     if not charge:
                         verdicts.append(None)
@@ -240,7 +239,7 @@ def _starts(cut_rows: DataFrame, per_us: int, token: int, slack: int, tie: str)
     return (
         effects.repartition("_user")
         .sortWithinPartitions(*_CELL)
-        .mapInArrow(_chain, "_user string, _slice bigint, _start bigint")
+        .mapInArrow(_chain, "_user string, _slice bigint, _start string")
     )
 
 
@@ -269,7 +268,7 @@ def rate_limit(
 
     sliced, cut_rows = cut(keyed, ["_user"], "t_us", spread)
     if cut_rows is None:
-        started = sliced.withColumn("_start", F.lit(None).cast("bigint")).repartition("_user")
+        started = sliced.withColumn("_start", F.lit(None).cast("string")).repartition("_user")
     else:
         started = sliced.repartition(*_CELL).join(_starts(cut_rows, per_us, token, slack, tie), _CELL, "left")
     # The pass relies on the repartition above to see a bucket's rows together; the join keeps it.

@@ -69,6 +69,11 @@ def connection_changes(intervals: DataFrame) -> DataFrame:
     return opened.unionByName(closed)
 
 
+def in_trimmed_rooms(messages: DataFrame) -> DataFrame:
+    """Messages under the name their room has in the membership log."""
+    return messages.withColumn("room_id", trim_space(F.col("room_id")))
+
+
 def with_audience(messages: DataFrame, intervals: DataFrame, spread: Spread = ALL) -> DataFrame:
     """Add ``audience``: how many members are present when the message is broadcast.
 
@@ -78,7 +83,7 @@ def with_audience(messages: DataFrame, intervals: DataFrame, spread: Spread = AL
     steps = connection_changes(intervals).select(
         "room_id", "t_us", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), "delta"
     )
-    line = messages.withColumn("_kind", F.lit(1)).withColumn("_id", F.col("event_id")).unionByName(
+    line = in_trimmed_rooms(messages).withColumn("_kind", F.lit(1)).withColumn("_id", F.col("event_id")).unionByName(
         steps, allowMissingColumns=True
     )
     counted = running(line, ["room_id"], "t_us", ["t_us", "_kind", "_id"], Running(sums={"audience": "delta"}), spread)
@@ -100,7 +105,7 @@ def room_sequence(messages: DataFrame, offsets_per_slice: int = OFFSETS_PER_SLIC
 
     A room lives in one partition of the log, so ``off`` orders it totally.
     """
-    one = messages.withColumn("_one", F.lit(1).cast("bigint"))
+    one = in_trimmed_rooms(messages).withColumn("_one", F.lit(1).cast("bigint"))
     numbered = running(
         one, ["room_id"], "off", ["off"], Running(sums={"sequence": "_one"}), Spread(width_us=offsets_per_slice)
     )
@@ -133,7 +138,7 @@ def fanout(
         .withColumn("_slice", F.explode(F.sequence("_from", "_to")))
         .drop("_from", "_to")
     )
-    sliced = messages.withColumn("_slice", slice_no(F.col("t_us")))
+    sliced = in_trimmed_rooms(messages).withColumn("_slice", slice_no(F.col("t_us")))
     present = (F.col("joined_at") <= F.col("t_us")) & (F.col("left_at").isNull() | (F.col("t_us") < F.col("left_at")))
     # The size estimate does not know how far the stays were laid out, so never broadcast them.
     return sliced.join(stays.hint("merge"), ["room_id", "_slice"]).where(present).select(*messages.columns, "member_id")

@@ -27,15 +27,15 @@ def lease_key(prefix: Column, topic: Column, group: Column, part: Column, defaul
     return F.format_string("%s:partition:%d", scoped, part)
 
 
-def _usable(log: DataFrame) -> DataFrame:
-    """Operations that are accepted at all."""
-    register = (
-        valid_lease(F.col("gateway_id"), F.col("websocket_url"), F.col("token")) & (F.col("ttl_us") > 0) & (F.col("part") >= 0)
-    )
-    release = ~is_blank(F.col("token")) & (F.col("part") >= 0)
-    return log.where(
-        F.when(F.col("kind") == "register", register).when(F.col("kind") == "release", release).otherwise(F.lit(False))
-    )
+def acceptable() -> Column:
+    """Is a register or release complete; other operations are."""
+    register = valid_lease(F.col("gateway_id"), F.col("websocket_url"), F.col("token")) & (F.col("ttl_us") > 0)
+    return F.when(F.col("kind") == "register", register).when(F.col("kind") == "release", ~is_blank(F.col("token"))).otherwise(True)
+
+
+def usable(log: DataFrame) -> DataFrame:
+    """Registers and releases that are accepted at all."""
+    return log.where(F.col("kind").isin("register", "release") & (F.col("part") >= 0) & acceptable())
 
 
 def leases(log: DataFrame, spread: Spread = HOT) -> DataFrame:
@@ -44,7 +44,7 @@ def leases(log: DataFrame, spread: Spread = HOT) -> DataFrame:
     A release that comes after another register of the partition is found here
     too, but by then that other lease is the one in force, so it has no effect.
     """
-    line = _usable(log).withColumn("_release", F.when(F.col("kind") == "release", F.struct("t_us", "event_id")))
+    line = usable(log).withColumn("_release", F.when(F.col("kind") == "release", F.struct("t_us", "event_id")))
     seen = running(line, ["part", "token"], "t_us", ["t_us", "event_id"], Running(next={"released": "_release"}), spread)
     return seen.where(F.col("kind") == "register").drop("_release", "kind")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatstream.functions.hashing import partition_for_room
-from chatstream.functions.text import clean_words, first_match
+from chatstream.functions.text import clean_words, first_match, trim_space
 from chatstream.functions.urls import valid_lease
 from chatstream.operators import delivery, envelope, metrics, moderation, ownership, publish, ratelimit, rooms, routing
 from chatstream.operators.ordered import Spread
@@ -142,7 +142,7 @@ def metrics_counters(t):
 
 @query
 def handshake_reasons(t):
-    placed = t.handshakes.withColumn("part", partition_for_room(F.trim("room_id"), PARTITIONS))
+    placed = t.handshakes.withColumn("part", partition_for_room(trim_space(F.col("room_id")), PARTITIONS))
     owned = ownership.with_owner(placed, t.ownership_log, t.all).withColumn("owned", F.col("instance_id") == F.col("gateway"))
     return moderation.check_handshakes(owned).select("event_id", "user_id", "room_id", "reject_reason")
 
@@ -528,7 +528,7 @@ def stream_dedup(t):
 def stream_echo(t):
     sent = _stream(t, t.sent, event_id=-1, user_id="end", content="end", sent_ns=END_US * 1000)
     received = _stream(t, t.received_echo, user_id="end", content=f"{ECHO_PREFIX}:end:{END_US * 1000}", received_ns=END_US * 1000)
-    return _run(t, streams.stream_echo(sent, received))
+    return _run(t, streams.stream_echo(sent, received, longest="400 days"))
 
 
 @query

@@ -21,10 +21,6 @@ RUNTIME_CONF = {
 }
 
 
-#: Beyond this the bookkeeping of map outputs costs more than larger partitions do.
-MAX_SHUFFLE_PARTITIONS = 100_000
-
-
 def ship_package() -> None:
     """Send this package's functions along with each task, so workers need no copy of it."""
     register_pickle_by_value(importlib.import_module(__package__))
@@ -45,7 +41,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int, bytes_per_partition: in
     default, would leave half a terabyte in each for an input of 100 TB.
     """
     cores = spark.sparkContext.defaultParallelism
-    partitions = min(max(cores, -(-input_bytes // bytes_per_partition)), MAX_SHUFFLE_PARTITIONS)
+    partitions = max(cores, -(-input_bytes // bytes_per_partition))
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return partitions
 
