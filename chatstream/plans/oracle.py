@@ -455,7 +455,7 @@ from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103
         f"""select conn_id, event_id, t_us as last_us, t_us + {Q.SILENCE_US} as timed_out_us from (
   select *, lead(t_us) over (partition by conn_id order by t_us, event_id) as heard from pongs) where heard is null or heard - t_us > {Q.SILENCE_US}""",
     ),
-    "stream_dedup": "select event_id, 'm-' || event_id as message_id from events where event_id % 23 <> 0",
+    "stream_dedup": "select event_id, 'm-' || event_id as message_id from events",
     "stream_echo": _with(
         ["sent", "received_echo"], _ECHO,
         """select s.event_id, s.user_id, e.received_ns - e.sent_ns as latency_ns from sent s join echoes e on e.user_id = s.user_id and e.content = s.content""",

@@ -67,7 +67,7 @@ class Tables:
 
     @property
     def checked(self) -> DataFrame:
-        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST, self.hot)
+        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST, replace(Spread.fit(self.frames, "t_us"), mode="hot"))
 
     @property
     def deliveries(self) -> DataFrame:
@@ -518,10 +518,11 @@ def stream_liveness(t):
 
 @query
 def stream_dedup(t):
-    once = t.envelopes.where(F.col("created_at").isNotNull()).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    # by arrival: an envelope need not say when it was made
+    once = t.envelopes.withColumn("received_at", F.col("received_at").cast("timestamp")).select("event_id", "received_at")
     twice = once.unionByName(once).withColumn("message_id", F.concat(F.lit("m-"), "event_id"))
-    end = {"message_id": "end", "event_id": -1, "created_at": "2100-01-01 00:00:00"}
-    return _run(t, streams.stream_dedup(_stream(t, twice, **end)).where(F.col("event_id") >= 0).select("event_id", "message_id"))
+    end = {"message_id": "end", "event_id": -1, "received_at": "2100-01-01 00:00:00"}
+    return _run(t, streams.stream_dedup(_stream(t, twice, **end), "received_at").where(F.col("event_id") >= 0).select("event_id", "message_id"))
 
 
 @query

@@ -111,7 +111,7 @@ select case when event_id % 11 = 0 then ' ' else 'm-' || cast(event_id as @STR)
   case when event_id % 13 = 0 then '' else 'room-' || cast(user_id % 10 as @STR) end as room_id,
   case when event_id % 17 = 0 then chr(9) else 'user-' || cast(user_id as @STR) end as user_id,
   case when event_id % 19 = 0 then null else event_type end as content,
-  case when event_id % 23 = 0 then null else ts end as created_at, event_id
+  case when event_id % 23 = 0 then null else ts end as created_at, event_id, ts as received_at
 from @T(events)""",
     "limiter_events": """
 select cast(user_id as @STR) as user_id, event_id, @US(ts) as t_us from @T(events)""",
