@@ -1,11 +1,10 @@
 """Linking rows that share buckets, and connected components by alternating large-star and small-star.
 
 Nothing here emits all pairs of a bucket or gathers a bucket, a component or the links in one place. Each member is first
-compared with one pivot, then with the two pivots of each of its buckets that are not in its component yet. A bucket that
-still holds more than one component is compared with one member for each of up to ``SALTS`` groups of its components: that
-settles a large group of copies among a few others. What is left are families of rows that are alike but not linked. They
-are compared in blocks of a bounded number of members, and only links come out. Members that have been pivots have met the
-whole bucket, so in the end every pair of a bucket that is not already connected has been compared.
+compared with three pivots at most, the smallest and largest members of its buckets: that settles groups of copies, however
+large. Buckets that still hold more than one component form families, in which all members are compared in blocks of a
+bounded number, save the largest component with itself; only links come out. So in the end every pair of a bucket that is
+not already connected has been compared.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
 
-SALTS, BLOCK = 32, 512
+BLOCK = 512
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -72,22 +71,18 @@ def linked_components(
         return found if more.isEmpty() else components(more.union(found.select("node", "component")))
 
     found = components(links(_ordered(members.groupBy("node").agg(F.min("low").alias("pivot")))))
-    pairs = members.select("node", F.explode(F.array("low", "high")).alias("pivot"))
-    found = with_links(found, links(_apart(_ordered(pairs), found)))
-    rows = _open(members.filter("node <> low and node <> high").select("bucket", "node"), found)
-    if rows.isEmpty():
-        return found
-    rows = rows.withColumn("salt", F.pmod(F.hash("component"), F.lit(SALTS)))
-    pivots = stored(rows.groupBy("bucket", "salt").agg(F.min(F.struct("node", "component")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")), "pivots")
-    found = with_links(found, links(_ordered(rows.join(pivots, "bucket").filter("component <> of").select("node", "pivot"))))
-    rows = _open(rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), found)
+    others = F.array(F.max("low"), F.min("high"))
+    found = with_links(found, links(_apart(_ordered(members.groupBy("node").agg(others.alias("p")).select("node", F.explode("p").alias("pivot"))), found)))
+    rows = _open(members, found)
     if rows.isEmpty():
         return found
     # members that share open buckets, directly or not, meet once and not in each bucket
     lowest = stored(rows.groupBy("bucket").agg(F.min("node").alias("b")), "lowest")
     family = components(rows.join(lowest, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "family")
     rows = stored(rows.select("node", "component").distinct().join(family, "node"), "family")
-    sizes = stored(rows.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = F.max(F.struct("n", "component"))
+    sizes = stored(parts.groupBy("family").agg(main["component"].alias("main"), main["n"].alias("n_main"), (F.sum("n") - main["n"]).alias("n_rest")), "sizes")
     return with_links(found, stored(_blocks(rows.join(sizes, "family"), signatures, kind, least, held, similar).distinct(), "links"))
 
 
@@ -110,9 +105,9 @@ def _similar(pairs: DataFrame, held: DataFrame, similar: Similar) -> DataFrame:
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """bucket, node, component and n (members) of the buckets that hold more than one component."""
+    """bucket, node and component in the buckets that hold more than one component."""
     known = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", "n"), "open")
+    several = stored(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "open")
     return stored(known.join(several, "bucket"), "rows")
 
 
@@ -132,12 +127,13 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, kind: type, least: int) -
 
 
 def _blocks(rows: DataFrame, signatures: DataFrame, kind: type, least: int, held: DataFrame | None, similar: Similar | None) -> DataFrame:
-    """Links between different components, each family's blocks of members compared two by two."""
-    of = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), of)
+    """Links between different components: each family's blocks of members two by two, those of its main component with the rest only."""
+    rest, all_ = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("n_rest") / BLOCK) + F.ceil(F.col("n_main") / BLOCK)
+    is_main, place = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = F.when(is_main, rest + F.pmod(place, all_ - rest)).otherwise(F.pmod(place, rest))
     known = rows.join(signatures, "node")
     known = known.withColumn("content", F.lit(None).cast("binary")) if held is None else known.join(held, "node")
-    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, rest).otherwise(all_) - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "content")
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 

@@ -89,7 +89,6 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_alike_families_without_links_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(components, "SALTS", 2)
     monkeypatch.setattr(components, "BLOCK", 8)
     rng = np.random.default_rng(1)
     table = rng.integers(0, 2, (60, 64)).astype(np.uint8)
