@@ -32,20 +32,25 @@ NUMBER, NAME, UNIT = "﷕", "﷖", "﷔"
 UNITS = "mm cm dm m km inch inches ft feet foot yard yards mile miles mg g kg t lb lbs oz ml cl l litre litres liter liters gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent degrees celsius fahrenheit kmh mph hz khz mhz ghz w kw kwh v a ohm j kj cal kcal pa bar usd eur gbp dollar dollars euro euros pound pounds cent cents".split()
 
 
-def normal(text: Column) -> Column:
-    """Lower-case words with single spaces; names begin with NAME, marks inside numbers are NUMBER."""
-    text = F.when(text.rlike(f"[{NUMBER}{NAME}{UNIT}]"), F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)
-    named = F.regexp_replace(text, r"(?<=[^.!?:;\s\"]\x20)(\p{Lu}\p{Ll}+)", f"{NAME}$1")
-    counted = F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, r"(?<=[0-9])[.,:/'](?=[0-9])", NUMBER), r"(?<=[0-9])(?=\p{L})", " ")).otherwise(named)
-    return F.trim(F.lower(F.regexp_replace(counted, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{NAME}]+", " ")))
+def with_words(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds ``n``, lower-case words with single spaces (names begin with NAME, marks inside numbers are NUMBER), and ``t``,
+    their template: as many words, names, numbers and units replaced.
 
-
-def template(words: Column) -> Column:
-    """The template of normal(): as many words, names, numbers and units replaced."""
-    named = F.when(words.contains(NAME), F.regexp_replace(words, f"{NAME}[^ ]+", NAME)).otherwise(words)
-    counted = F.regexp_replace(named, r"(?<![^ ])[0-9][^ ]*", NUMBER)
-    united = F.regexp_replace(counted, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", UNIT)
-    return F.when(words.rlike("[0-9]"), united).otherwise(named)
+    Each step is a pinned column: as one expression, every step would be done again wherever the next ones need it.
+    """
+    x = F.col("_x")
+    steps = [
+        ("_x", F.when(text.rlike(f"[{NUMBER}{NAME}{UNIT}]"), F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)),
+        ("_x", F.regexp_replace(x, r"(?<=[^.!?:;\s\"]\x20)(?=\p{Lu}\p{Ll})", NAME)),
+        ("_digits", x.rlike("[0-9]")),
+        ("_x", F.when(F.col("_digits"), F.regexp_replace(F.regexp_replace(x, r"(?<=[0-9])[.,:/'](?=[0-9])", NUMBER), r"(?<=[0-9])(?=\p{L})", " ")).otherwise(x)),
+        ("n", F.trim(F.lower(F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{NAME}]+", " ")))),
+        ("_x", F.when(F.col("n").contains(NAME), F.regexp_replace("n", f"{NAME}[^ ]+", NAME)).otherwise(F.col("n"))),
+        ("t", F.when(F.col("_digits"), F.regexp_replace(F.regexp_replace(x, r"(?<![^ ])[0-9][^ ]*", NUMBER), f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", UNIT)).otherwise(x)),
+    ]
+    for name, step in steps:
+        rows = rows.withColumn(name, pinned(step))
+    return rows.drop("_x", "_digits")
 
 
 def split(words: Column) -> Column:
@@ -68,8 +73,8 @@ def prepared(benchmark: DataFrame) -> DataFrame:
     An item with names comes twice: typed, and in lower case, where names are plain words.
     """
     text = text_or_empty("text")
-    rows = benchmark.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("typed"), normal(text).alias("n")), F.struct(F.lit(False).alias("typed"), normal(F.lower(text)).alias("n")))).alias("v"))
-    rows = rows.select("item_id", "v.typed", split(template(F.col("v.n"))).alias("item"), split(F.col("v.n")).alias("values"))
+    rows = benchmark.select("item_id", F.explode(F.array(F.struct(F.lit(True).alias("typed"), text.alias("said")), F.struct(F.lit(False).alias("typed"), F.lower(text).alias("said")))).alias("v"))
+    rows = with_words(rows.select("item_id", "v.typed", "v.said"), F.col("said")).select("item_id", "typed", split(F.col("t")).alias("item"), split(F.col("n")).alias("values"))
     return rows.filter((F.size("item") >= LEAST_WORDS) & (_slots(F.col("item")) <= (1 - LITERAL) * F.size("item")))
 
 
@@ -82,7 +87,8 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(prepared(benchmark).distinct(), "items")
     length = F.least(F.size("item"), F.lit(WINDOW))
     sizes = [r[0] for r in items.select(length.alias("n")).distinct().collect()]  # at most WINDOW numbers
-    texts = documents.filter("doc_id is not null").select("doc_id", pinned(split(pinned(template(pinned(normal(text_or_empty("text"))))))).alias("words"))
+    said = documents.select("doc_id", text_or_empty("text").alias("text"))
+    texts = with_words(said.filter("doc_id is not null"), F.col("text")).select("doc_id", pinned(split(F.col("t"))).alias("words"))
     found = None
     for size in sorted(sizes):
         known = items.filter(length == size).select("item_id", F.explode(_windows(F.col("item"), size, 1)).alias("w"), "item")
@@ -97,8 +103,8 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return documents.limit(0).select("doc_id").join(benchmark.limit(0).select("item_id")).withColumn("share", F.lit(0.0))
     found = stored(found.distinct(), "shifts")
     wanted = stored(found.select("doc_id").distinct(), "wanted")
-    rows = documents.select("doc_id", pinned(normal(text_or_empty("text"))).alias("n")).join(wanted, "doc_id", "left_semi")
-    rows = rows.select("doc_id", pinned(split(template(F.col("n")))).alias("words"), pinned(split(F.col("n"))).alias("said"))
+    rows = with_words(said.join(wanted, "doc_id", "left_semi"), F.col("text"))
+    rows = rows.select("doc_id", pinned(split(F.col("t"))).alias("words"), pinned(split(F.col("n"))).alias("said"))
     pairs = rows.join(found, "doc_id").join(items.filter("typed"), "item_id")
     places = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: (F.get("words", i + F.col("shift")) == F.get("item", i)) | ((F.get("item", i) == NAME) & F.get("words", i + F.col("shift")).isNotNull()))
     pairs = pairs.withColumn("places", pinned(places))
