@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from chatstream.functions.pinning import pinned
 from chatstream.llm.common import stored, text_or_empty
 
-#: Words in a window; every STRIDE-th window of a document is looked up among all windows of the items, so an unbroken
-#: run of WINDOW + STRIDE - 1 template words is always met.
-WINDOW, STRIDE = 8, 3
+#: Words in a window; every window of a document is looked up among all windows of the items, so an unbroken run of
+#: WINDOW template words is always met.
+WINDOW = 8
 #: Share of the words of a window, and of an item, that must not be placeholders.
 LITERAL = 0.5
 #: Share of an item's template that a document must hold.
@@ -57,9 +57,9 @@ def split(words: Column) -> Column:
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
 
 
-def _windows(words: Column, size: int, stride: int) -> Column:
-    """(position, hash) of the windows at every stride-th position."""
-    at = F.sequence(F.lit(0), F.size(words) - size, F.lit(stride))
+def _windows(words: Column, size: int) -> Column:
+    """(position, hash) of the windows at every position."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
     return F.when(F.size(words) >= size, F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(size))).alias("hash"))))
 
 
@@ -91,12 +91,12 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = with_words(said.filter("doc_id is not null"), F.col("text")).select("doc_id", pinned(split(F.col("t"))).alias("words"))
     found = None
     for size in sorted(sizes):
-        known = items.filter(length == size).select("item_id", F.explode(_windows(F.col("item"), size, 1)).alias("w"), "item")
+        known = items.filter(length == size).select("item_id", F.explode(_windows(F.col("item"), size)).alias("w"), "item")
         known = known.filter(_slots(F.slice("item", F.col("w.at") + 1, F.lit(size))) <= (1 - LITERAL) * size)
         known = stored(known.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")).distinct(), "windows")
         if known.count() <= BROADCAST_WINDOWS:
             known = F.broadcast(known)
-        asked = texts.select("doc_id", F.explode(_windows(F.col("words"), size, STRIDE if size == WINDOW else 1)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+        asked = texts.select("doc_id", F.explode(_windows(F.col("words"), size)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
         hits = asked.join(known, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.union(hits)
     if found is None:

@@ -154,6 +154,16 @@ def test_decontamination(spark):
     assert decontaminate.marked(frame, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_short_items_and_broken_copies_are_met_at_every_offset(spark):
+    words = "amber birch cedar dahlia elder fennel ginger hazel iris juniper kale lotus maple nettle olive parsley quince rose sage thyme".split()
+    items = [(n, " ".join(words[:n])) for n in (8, 9, 10)] + [(20, " ".join(reversed(words)))]
+    broken = [w if k % 9 != 8 else "other" for k, w in enumerate(reversed(words))]  # runs of eight, 18 of 20 words
+    docs = [(10 * n + at, " ".join([*["well"] * at, *words[:n], "end"])) for n in (8, 9, 10) for at in range(3)] + [(200 + at, " ".join([*["well"] * at, *broken])) for at in range(3)]
+    found = decontaminate.marked(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # eight of nine words are enough for the item of nine, eight of ten for that of ten
+    assert {r.doc_id: r.item_ids for r in found} == {d: [8, 9, 10] if d < 200 else [20] for d, _ in docs}
+
+
 def test_quality_and_toxicity(spark):
     rnd = random.Random(8)
     words = [a + b for a in ("ther", "onin", "edha", "stou", "whan", "lyre") for b in ("ing", "tion", "ent", "ers", "able", "hat")]
