@@ -164,6 +164,22 @@ def test_short_items_and_broken_copies_are_met_at_every_offset(spark):
     assert {r.doc_id: r.item_ids for r in found} == {d: [8, 9, 10] if d < 200 else [20] for d, _ in docs}
 
 
+def test_items_of_numbers_and_names_are_found_word_for_word(spark):
+    items = [
+        (1, "Compute 12 + 15 * 31 - 7"), (2, "please List Anna, Bert, Carla, Dora, Emil, Fritz, Gerda, Hans and Ida"), (3, "twelve angry men"),
+        (4, "A farmer has many cows and buys one more"), (5, "1 2 3 4 5 6 7 8 9 10 11"), (6, "say why 1 2 3 4 5 6 7 8 and then give reasons for your answer here below"),
+        (7, "Name Paris"),
+    ]
+    docs = [
+        (10, "Now compute 12 + 15 * 31 - 7 please"), (11, "Now compute 9 + 8 * 4 - 3 please"), (12, "so please List Anna, Bert, Carla, Dora, Emil, Fritz, Gerda, Hans and Ida now"),
+        (13, "PLEASE list anna, bert, carla, dora, emil, fritz, gerda, hans and ida"), (14, "please List Otto, Paul, Quinn, Rosa, Sven, Toni, Ute, Vera and Willi now"),
+        (15, "we saw Twelve Angry Men again"), (16, "twelve very angry men"), (17, "Question 3. A farmer has many cows and buys one more"), (18, "it is 1 2 3 4 5 6 7 8 9 10 11"),
+        (19, "it is 2 3 4 5 6 7 8 9 10 11 12 13"), (20, "well say why 1 2 3 4 5 6 7 8 and"), (21, "they Name Paris"), (22, "they Name London"),
+    ]
+    found = decontaminate.marked(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in found if r.contaminated} == {10: [1], 12: [2], 13: [2], 15: [3], 17: [4], 18: [5], 21: [7], 19: [5]}
+
+
 def test_quality_and_toxicity(spark):
     rnd = random.Random(8)
     words = [a + b for a in ("ther", "onin", "edha", "stou", "whan", "lyre") for b in ("ing", "tion", "ent", "ers", "able", "hat")]
