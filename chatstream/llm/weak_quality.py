@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
 from chatstream.llm.langid import BITS, follow_leader
 
-#: Documents that the scorer is trained on, at most; the sample is by a hash of doc_id.
+#: Documents that the scorer is trained on, at most; the sample is by a hash of doc_id in
+#: each stratum of votes, so a class that is rare in the corpus is not absent from it.
 TRAIN_DOCUMENTS = 8000
 #: Posteriors between these leave a document out of the training.
 UNSURE = (0.1, 0.9)
@@ -160,6 +161,17 @@ def _fitted(rows: list[tuple[np.ndarray, float]], l1: float) -> tuple[np.ndarray
     return (weights[1] - weights[0]).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _kind(bad: float) -> str:
+    return "+" if bad >= UNSURE[1] else "-" if bad <= UNSURE[0] else "0"
+
+
+def quotas(sizes: dict[str, int]) -> dict[str, int]:
+    """Documents to take of each stratum: all of a small one, a ninth of the sample at least, the rest in proportion."""
+    least = {k: min(n, TRAIN_DOCUMENTS // 9) for k, n in sizes.items()}
+    left, over = TRAIN_DOCUMENTS - sum(least.values()), sum(sizes.values()) - sum(least.values())
+    return {k: least[k] + min(n - least[k], left * (n - least[k]) // over if over else 0) for k, n in sizes.items()}
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from the votes on all documents; contradicting labels of one doc_id are none, and no labels at all are no hindrance."""
     sign = lambda good: F.when(F.min(good) != F.max(good), "0").when(F.min(good) == 1, "-").when(F.min(good) == 0, "+").otherwise("0")
@@ -172,10 +184,17 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
         by[name], total = posteriors(counts), sum(counts.values())
     if not total:
         return Scorer(None, None)
-    share = min(1.0, 2 * (TRAIN_DOCUMENTS + 100) / total)
+    # strata by what the votes say of both classes: the rare ones whole, or a fair part of the sample of each
+    kinds = {name: F.create_map(*[F.lit(x) for p, bad in by[name].items() for x in (p, _kind(bad))]) for name in by}
+    known = known.withColumn("stratum", F.concat(*[kinds[name][F.col(name)] for name in ("low", "toxic")]))
+    sizes = {r[0]: r[1] for r in known.groupBy("stratum").count().collect()}  # at most 9 rows
+    quota = quotas(sizes)
     place = F.xxhash64(F.lit("quality"), "doc_id")
-    chosen = known.withColumn("place", place).filter(F.col("place") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
-    chosen = stored(chosen.orderBy("place", "low", "toxic").limit(TRAIN_DOCUMENTS), "chosen")
+    limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(2**63 - 1, int(min(1.0, 2 * (quota[k] + 100) / n) * 2**64) - 2**63))])
+    wanted = F.create_map(*[F.lit(x) for k in sizes for x in (k, quota[k])])
+    near = known.withColumn("place", place).filter(F.col("place") <= limit[F.col("stratum")])  # about twice the sample
+    first = Window.partitionBy("stratum").orderBy("place", "low", "toxic")
+    chosen = stored(near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= wanted[F.col("stratum")]).select("doc_id", "low", "toxic", "place"), "chosen")
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

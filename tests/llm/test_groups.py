@@ -207,6 +207,19 @@ def test_quality_and_toxicity(spark):
     assert weak_quality.scored(frame.limit(0), weak_quality.train(frame.limit(0), given)).count() == 0
 
 
+def test_a_rare_class_is_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(weak_quality, "TRAIN_DOCUMENTS", 180)
+    rnd = random.Random(11)
+    words = [a + b for a in ("ther", "onin", "edha", "stou", "whan", "lyre") for b in ("ing", "tion", "ent", "ers", "able", "hat")]
+    toxic = set(range(0, 6000, 300))
+    docs = [(i, " ".join([*rnd.choices(words, k=25), *(["idiot", "scum", "moron"] if i in toxic else [])])) for i in range(6000)]
+    frame = spark.createDataFrame(docs, DOCS)
+    given = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 6000, 3)], "doc_id long, quality int, toxic int")
+    found = weak_quality.scored(frame, weak_quality.train(frame, given)).filter("not kept").collect()
+    assert {r.doc_id for r in found} == toxic
+    assert weak_quality.quotas({"--": 10**9, "-+": 5, "+-": 300}) == {"--": 154, "-+": 5, "+-": 20}
+
+
 def test_label_model_finds_who_is_right():
     rnd = random.Random(9)
     counts = collections.Counter()
