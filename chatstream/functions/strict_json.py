@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from chatstream.functions.pinning import pinned
 
-_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+#: Strict grammar; the reader's own limits lie beyond what a frame or a record can hold.
+_OPTIONS = {
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+    "maxNestingDepth": "10000", "maxNumLen": "2147483647", "maxStringLen": "2147483647",
+}
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 _ZERO_TIME = "0001-01-01T00:00:00Z"
 _FOLDED = "lower(translate({k}, 'ſ', 's'))"
@@ -45,7 +49,7 @@ def with_parsed(df: DataFrame, text: str, fields: list[str]) -> DataFrame:
                 "_listed": pinned(F.from_json(F.concat(F.lit("["), v, F.lit("]")), f"array<struct<{texts}>>", _OPTIONS)),
                 "_held": pinned(F.from_json(F.concat(F.lit('{"p":'), v, F.lit("}")), f"struct<p: struct<{variants}>>", _OPTIONS)),
                 "_null_literal": F.btrim(v, F.lit(" \t\r\n")) == "null",
-                "_keys": pinned(F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))),
+                "_keys": pinned(F.coalesce(F.json_object_keys(v), F.map_keys(F.from_json(v, "map<string, string>", _OPTIONS)), F.array().cast("array<string>"))),
             }
         )
         .withColumn(
@@ -67,9 +71,12 @@ def shape_ok() -> Column:
     return F.coalesce(F.expr("_null_literal OR (size(_listed) = 1 AND _held.p IS NOT NULL)"), F.lit(False))
 
 
+def _options() -> str:
+    return ", ".join(f"'{k}', '{v}'" for k, v in _OPTIONS.items())
+
+
 def _entries(text: str, field: str) -> str:
-    options = ", ".join(f"'{k}', '{v}'" for k, v in _OPTIONS.items())
-    decoded = f"from_json({text}, 'map<string, variant>', map({options}))"
+    decoded = f"from_json({text}, 'map<string, variant>', map({_options()}))"
     return f"filter(map_entries({decoded}), e -> {_FOLDED.format(k='e.key')} = '{field}')"
 
 
@@ -96,7 +103,7 @@ def uint64_field(text: str, field: str) -> tuple[Column, Column]:
     # VARIANT turns 1.0 into a decimal without its fraction, so the raw text decides.
     raw = (
         f"CASE WHEN _plain THEN get(_listed, 0).{field} "
-        f"ELSE try_element_at(filter(map_entries(from_json({text}, 'map<string, string>')), "
+        f"ELSE try_element_at(filter(map_entries(from_json({text}, 'map<string, string>', map({_options()}))), "
         f"e -> {_FOLDED.format(k='e.key')} = '{field}' AND e.value IS NOT NULL), -1).value END"
     )
     value = f"try_cast(({raw}) AS decimal(20,0))"
@@ -105,13 +112,17 @@ def uint64_field(text: str, field: str) -> tuple[Column, Column]:
     return F.expr(legal) & types, F.coalesce(F.expr(value), F.lit(0).cast("decimal(20,0)"))
 
 
-def instant(value: Column) -> tuple[Column, Column]:
-    """(is legal, timestamp) of an RFC 3339 text; NULL text and year-1 zero read as NULL."""
-    zone = r"(?:Z|([+-])(\d{2}):(\d{2}))$"
-    local = F.when(value.rlike(_RFC3339), F.try_to_timestamp(F.regexp_replace(value, zone, "Z")))
-    hours, minutes = (F.coalesce(F.regexp_extract(value, zone, k).try_cast("int"), F.lit(0)) for k in (2, 3))
+def instant(value: Column) -> Column:
+    """Timestamp of an RFC 3339 text, NULL for any other. The usual text ends in Z and is read as it stands."""
+    zone = r"([+-])(\d{2}):(\d{2})$"
+    hours, minutes = (F.regexp_extract(value, zone, k).try_cast("int") for k in (2, 3))
+    local = F.try_to_timestamp(F.regexp_replace(value, zone, "Z"))
     # the session's own reader stops at 18 hours
     ahead = (hours * 60 + minutes).cast("bigint") * F.when(F.regexp_extract(value, zone, 1) == "-", -60_000_000).otherwise(60_000_000)
-    parsed = F.when((hours < 24) & (minutes < 60), F.timestamp_micros(F.unix_micros(local) - ahead))
-    legal = value.isNull() | parsed.isNotNull()
-    return legal, F.when(parsed != F.to_timestamp(F.lit(_ZERO_TIME)), parsed)
+    elsewhere = F.when((hours < 24) & (minutes < 60), F.timestamp_micros(F.unix_micros(local) - ahead))
+    return F.when(value.rlike(_RFC3339), F.when(F.endswith(value, F.lit("Z")), F.try_to_timestamp(value)).otherwise(elsewhere))
+
+
+def unless_zero(at: Column) -> Column:
+    """The year-1 zero of a timestamp that was never set reads as NULL."""
+    return F.when(at != F.to_timestamp(F.lit(_ZERO_TIME)), at)

@@ -45,6 +45,9 @@ def first_match(content: Column, dictionary: list[str]) -> Column:
         return F.lit(None).cast("string")
     # A cleaned word starts and ends with a visible character, so trimming the
     # content cannot change what it contains.
-    text = lower_simple(content)
-    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    # The array of one binds the lower-cased text, so it is made once and not for every word.
+    found = F.transform(
+        F.array(lower_simple(content)),
+        lambda text: F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(0)),
+    )
     return F.when(content.isNotNull(), F.get(found, F.lit(0)))

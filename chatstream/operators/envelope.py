@@ -73,10 +73,11 @@ def decode(records: DataFrame) -> DataFrame:
     strings_ok = J.shape_ok()
     for name in [*_REQUIRED_TEXT, "created_at"]:
         strings_ok = strings_ok & J.field_types_ok("value", name, ["STRING"])
-    created_ok, created = J.instant(F.col("_created"))
+    created_ok = F.col("_created").isNull() | F.col("_at").isNotNull()
     typed = (
         parsed.withColumn("_strings_ok", pinned(strings_ok))
         .withColumn("_created", pinned(F.when(F.col("_strings_ok"), J.string_field("value", "created_at"))))
+        .withColumn("_at", pinned(J.instant(F.col("_created"))))
         .withColumn("_ok", pinned(F.col("_strings_ok") & sequence_ok & created_ok))
     )
     read = typed.select(
@@ -84,7 +85,7 @@ def decode(records: DataFrame) -> DataFrame:
         "_ok",
         *[pinned(F.when(F.col("_ok"), J.string_field("value", name))).alias(name) for name in _REQUIRED_TEXT],
         pinned(F.when(F.col("_ok"), sequence)).alias("sequence"),
-        pinned(F.when(F.col("_ok"), created)).alias("created_at"),
+        pinned(F.when(F.col("_ok"), J.unless_zero(F.col("_at")))).alias("created_at"),
     )
     code = F.when(F.col("_ok"), invalid_code())
     return (

@@ -48,20 +48,26 @@ JSON_CASES: list[tuple[str, str | None]] = [
     ("''", "invalid_json"),
     ("repeat('x', 4097)", "frame_too_large"),
     ("'{}' || repeat(' ', 4094)", "empty_content"),
+    ("""'{"deep":' || repeat('[', 1500) || repeat(']', 1500) || ',"content":"' || txt || '"}'""", None),
+    ("""'{"long":' || repeat('7', 1200) || ',"content":"' || txt || '"}'""", None),
+    ("""'{"content":' || repeat('7', 1200) || '}'""", "invalid_json"),
 ]
 
 #: (address, is it acceptable)
 URL_CASES: list[tuple[str, bool]] = [
-    ("wss://gateway.example/ws", True),
-    ("ws://localhost:9090/ws", True),
-    ("https://gateway.example/ws", False),
-    ("wss://user:secret@gateway.example/ws", False),
-    ("wss://gateway.example/ws?token=x", False),
-    ("wss://gateway.example/ws#top", False),
-    ("javascript:alert(1)", False),
-    ("wss:///ws", False),
-    ("gateway.example/ws", False),
-    ("", False),
+    ("wss://eu-3.chat.test:8443/room/socket", True),
+    ("ws://[2001:db8::7]:81/", True),
+    ("WSS://Upper.Test", True),
+    ("wss://host.test/a%20b;v=1/../c", True),
+    ("ftp://files.test/socket", False),
+    ("wss://@host.test/", False),
+    ("wss://name:@host.test/", False),
+    ("ws://host.test/?", True),
+    ("ws://host.test/p?x#y", False),
+    ("ws:host.test", False),
+    ("//host.test/socket", False),
+    ("wss://:443/socket", True),
+    ("  ", False),
 ]
 
 

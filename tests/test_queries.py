@@ -11,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from check_oracle import TABLES, rows  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
+from chatstream.plans.oracle import ORACLE  # noqa: E402
+from chatstream.plans.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,7 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) == set(QUERIES)
+    assert ORACLE.items() <= entry_module.oracle_sql().items() and QUERIES.items() <= entry_module.queries().items()
 
 
 def test_entry(spark):
