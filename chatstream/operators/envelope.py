@@ -23,9 +23,10 @@ def random_message_id() -> Column:
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))
 
 
-def build_envelope(accepted: DataFrame) -> DataFrame:
-    """Accepted frames -> publishable envelopes, stamped with their ingress time."""
+def build_envelope(accepted: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Accepted frames -> publishable envelopes, stamped with their ingress time; columns to ``keep`` stay beside them."""
     return accepted.select(
+        *(keep or []),
         message_id(F.col("conn_id"), F.col("frame_no"), F.col("t_us")).alias("message_id"),
         "room_id",
         "user_id",
@@ -53,10 +54,10 @@ def rfc3339(ts: Column) -> Column:
     return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
 
 
-def encode(envelopes: DataFrame) -> DataFrame:
-    """Envelope -> log record: key is the room, value the JSON text."""
+def encode(envelopes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Envelope -> log record: key is the room, value the JSON text; columns to ``keep`` stay beside them."""
     value = F.to_json(F.struct(*FIELDS[:4], "sequence", rfc3339(F.col("created_at")).alias("created_at")))
-    return envelopes.select(F.col("room_id").cast("binary").alias("key"), value.cast("binary").alias("value"))
+    return envelopes.select(*(keep or []), F.col("room_id").cast("binary").alias("key"), value.cast("binary").alias("value"))
 
 
 def decode(records: DataFrame) -> DataFrame:

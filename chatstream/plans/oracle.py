@@ -5,7 +5,7 @@ from __future__ import annotations
 from chatstream import schema as S
 from chatstream.operators.routing import DEFAULT_PREFIX
 from chatstream.plans import queries as Q
-from chatstream.plans.views import JSON_CASES, URL_CASES, duckdb_view
+from chatstream.plans.views import JSON_CASES, RARE, RARE_CASES, URL_CASES, duckdb_view
 
 
 def _with(views: list[str], *steps: str, recursive: bool = False) -> str:
@@ -37,7 +37,7 @@ _MODERATED = f"""decoded as (
   select *, case when json_valid(payload) then coalesce(json_type(payload, '$.content'), 'NULL') end as content_type,
     case when json_valid(payload) then json_extract_string(payload, '$.content') end as content from frames
 ), moderated as (
-  select conn_id, frame_no, room_id, user_id, t_us, content,
+  select conn_id, frame_no, room_id, user_id, t_us, content, instance_id, id_failed, write_failed,
     case when strlen(payload) > {S.MAX_FRAME_BYTES} then 'frame_too_large'
          when content_type is null or content_type not in ('VARCHAR', 'NULL') then 'invalid_json'
          when trim(coalesce(content, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' then 'empty_content'
@@ -72,11 +72,18 @@ _CHECKED = [
     _ADMITTED,
     "passed as (select * from admitted where reject_reason is null)",
     _bucket("passed", "t_us, conn_id, frame_no", f"{float(Q.FLOW_RATE)}", Q.FLOW_BURST),
-    """checked as (
-  select a.conn_id, a.frame_no, a.room_id, a.user_id, a.t_us, a.content,
-    case when b.allowed = false then 'rate_limit' else a.reject_reason end as reject_reason
+    """limited as (
+  select a.*, case when b.allowed = false then 'rate_limit' else a.reject_reason end as limited_reason
   from admitted a left join ordered o on o.conn_id = a.conn_id and o.frame_no = a.frame_no
     left join bucket b on b.user_id = o.user_id and b.rn = o.rn
+)""",
+    """checked as (
+  select l.conn_id, l.frame_no, l.room_id, l.user_id, l.t_us, l.content,
+    case when l.limited_reason is not null then l.limited_reason
+         when c.kind is distinct from 'ready' then 'message_bus_unavailable'
+         when l.id_failed then 'message_id_generation_failed'
+         when l.write_failed then 'message_bus_unavailable' end as reject_reason
+  from limited l asof left join consumers c on l.instance_id = c.instance_id and l.t_us >= c.t_us
 )""",
 ]
 
@@ -96,6 +103,12 @@ _INTERVALS = (
   from history where kind = 'join' and outcome = 'accepted'
 )"""
 )
+#: Accepted frames in the order they reach the log, offsets without gaps in each partition.
+_LOG = f"""log as (
+  select md5(concat_ws(chr(31), conn_id, frame_no, t_us)) as message_id, room_id, user_id, content, t_us, part,
+    row_number() over (partition by part order by t_us, conn_id, frame_no) - 1 as off
+  from (select *, {_part('room_id')} as part from checked where reject_reason is null)
+)"""
 _PRESENT = "i.room_id = m.room_id and i.joined_at <= m.t_us and (i.left_at is null or m.t_us < i.left_at)"
 _NUMBERED = f"""numbered as (
   select *, row_number() over (partition by room_id order by off) as sequence
@@ -174,27 +187,28 @@ def _percentiles(by: str = "") -> str:
 ORACLE: dict[str, str] = {
     "frames_scan": _with(["frames"], "select conn_id, frame_no, room_id, user_id, t_us, strlen(payload) as n_bytes from frames"),
     "moderation_reasons": _with(["frames"], _MODERATED, "select conn_id, frame_no, reject_reason from moderated"),
-    "json_edge_cases": "select event_id as conn_id, "
-    + _case(f"event_id % {len(JSON_CASES)}", [(i, r) for i, (_, r) in enumerate(JSON_CASES)])
+    "json_edge_cases": f"select event_id as conn_id, case when event_id % {RARE} < {len(RARE_CASES)} then "
+    + _case(f"event_id % {RARE}", [(i, r) for i, (_, r) in enumerate(RARE_CASES)]) + " else "
+    + _case(f"event_id % {len(JSON_CASES)}", [(i, r) for i, (_, r) in enumerate(JSON_CASES)]) + " end"
     + " as reject_reason from events",
     "sensitive_first_match": f"select doc_id, list_filter({_list(_CLEAN)}, lambda w: contains(lower(text), w))[1] as word from documents",
     "sensitive_many_words": f"select doc_id, list_filter({_list(Q.MANY_WORDS)}, lambda w: contains(lower(text), w))[1] as word from documents",
     "dictionary_clean": "select p_partkey, lower(trim(p_name)) || '|' || lower(trim(p_type)) as words from part",
     "terminal_cutoff": _with(["frames"], _MODERATED, _ADMITTED, "select conn_id, frame_no, reject_reason from admitted"),
     "protocol_errors": _with(
-        ["frames"], *_CHECKED,
+        ["frames", "consumers"], *_CHECKED,
         f"""select c.conn_id, c.frame_no, c.reject_reason, r.code, r.message, r.action from checked c
 join (values {_reason_rows()}) r(reason, code, message, action) on r.reason = c.reject_reason""",
         recursive=True,
     ),
     "rejections_by_reason": _with(
-        ["frames"], *_CHECKED,
+        ["frames", "consumers"], *_CHECKED,
         "select reject_reason as reason, count(*) as rejected from checked where reject_reason is not null group by reject_reason",
         recursive=True,
     ),
-    "metrics_counters": _with(["frames"], *_CHECKED, _COUNTERS, "select * from counters", recursive=True),
+    "metrics_counters": _with(["frames", "consumers"], *_CHECKED, _COUNTERS, "select * from counters", recursive=True),
     "metrics_lines": _with(
-        ["frames", "timings"], *_CHECKED, _COUNTERS, _HISTOGRAM,
+        ["frames", "consumers", "timings"], *_CHECKED, _COUNTERS, _HISTOGRAM,
         f"""select metric || case when labels <> '' then '{{' || labels || '}}' else '' end || ' ' || {_fixed_number('value')} as line
 from (select * from counters union all select * from samples)""",
         recursive=True,
@@ -208,7 +222,7 @@ from (select * from counters union all select * from samples)""",
 from placed p asof left join ownership_log o on p.part = o.part and p.t_us >= o.t_us""",
     ),
     "envelope_build": _with(
-        ["frames"], *_CHECKED,
+        ["frames", "consumers"], *_CHECKED,
         """select md5(concat_ws(chr(31), conn_id, frame_no, t_us)) as message_id, room_id, user_id, content, 0 as sequence, t_us as created_us
 from checked where reject_reason is null""",
         recursive=True,
@@ -417,7 +431,7 @@ _STATE = """states as (
     count(*) filter (kind = 'restart') as restarts from consumer_log group by instance_id
 )"""
 ORACLE["metrics_scrape"] = _with(
-    ["frames", "timings", "membership_log", "messages", "consumer_log"],
+    ["frames", "consumers", "timings", "membership_log", "messages", "consumer_log"],
     *_CHECKED, _COUNTERS, _HISTOGRAM, _INTERVALS, _CHANGES, _NUMBERED, _DELIVERIES, _MISSED, _STATE,
     """select metric, labels, cast(value as double) as value from (
   select metric, labels, cast(value as double) as value from counters union all select metric, labels, cast(value as double) from samples
@@ -465,3 +479,20 @@ from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103
         """select t_us - t_us % 60000000 as from_us, coalesce(reject_reason, 'accepted') as reason, count(*) as frames from moderated group by all""",
     ),
 }
+
+_FLOW = [
+    *_CHECKED, _LOG, _INTERVALS.replace("membership_log", "connections"),
+    f"""numbered as (
+  select *, row_number() over (partition by room_id order by off) as sequence
+  from log m where exists (select 1 from intervals i where {_PRESENT})
+)""", _DELIVERIES,
+]
+ORACLE["flow_log"] = _with(
+    ["frames", "consumers"], *_CHECKED, _LOG, "select part, off, message_id, room_id, user_id, content, t_us as created_us from log", recursive=True
+)
+ORACLE["flow_deliveries"] = _with(
+    ["frames", "consumers", "connections"], *_FLOW, "select part, off, message_id, room_id, sequence, content, member_id from deliveries", recursive=True
+)
+ORACLE["log_export"] = _with(
+    ["bus_log"], "select part, count(*) as records, min(off) as first_off, max(off) as last_off, 0 as out_of_order from bus_log group by part"
+)

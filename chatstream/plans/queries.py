@@ -19,6 +19,7 @@ from chatstream.plans import flow
 from chatstream.plans.views import spark_view
 from chatstream.schema import ECHO_PREFIX
 from chatstream.session import configure, shared_dir, stored
+from chatstream.sources.bus import audit_log_files, read_log_files, write_log_files
 from chatstream.streaming import operators as streams
 from chatstream.streaming.run import consume, read_files, split_log, write_files
 
@@ -61,13 +62,17 @@ class Tables:
     def intervals(self) -> DataFrame:
         return stored(rooms.membership_intervals(self.membership_log, self.hot), "intervals")
 
+    @cached_property
+    def frame_slices(self) -> Spread:
+        return Spread.fit(self.frames, "t_us")
+
     @property
     def moderated(self) -> DataFrame:
         return moderation.moderate(self.frames, WORDS)
 
     @property
     def checked(self) -> DataFrame:
-        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST, replace(Spread.fit(self.frames, "t_us"), mode="hot"))
+        return flow.check_frames(self.frames, WORDS, FLOW_RATE, FLOW_BURST, replace(self.frame_slices, mode="hot"), self.consumers, self.frame_slices)
 
     @property
     def deliveries(self) -> DataFrame:
@@ -189,6 +194,31 @@ def bus_scan(t):
     )
 
 
+@query
+def log_export(t):
+    """The records through a log of files, and what the files say of their order."""
+    path = shared_dir(t.spark, "log")
+    write_log_files(t.bus_log, path)
+    return audit_log_files(t.spark, path)
+
+
+@query
+def flow_log(t):
+    """Accepted frames as the log holds them: written, read back and decoded."""
+    path = shared_dir(t.spark, "log")
+    flow.write_log(t.checked, PARTITIONS, path, spread=t.frame_slices)
+    messages, _ = flow.read_log(read_log_files(t.spark, path))
+    return messages.select("part", "off", "message_id", "room_id", "user_id", "content", F.col("t_us").alias("created_us"))
+
+
+@query
+def flow_deliveries(t):
+    """Frames to deliveries through the written log."""
+    hot = replace(t.frame_slices, mode="hot")
+    delivered = flow.run(t.frames, t.consumers, t.connections, PARTITIONS, WORDS, FLOW_RATE, FLOW_BURST, hot, t.frame_slices)
+    return delivered.select("part", "off", "message_id", "room_id", "sequence", "content", "member_id")
+
+
 @query
 def poison_records(t):
     return envelope.poison_records(envelope.decode(t.bus_log))

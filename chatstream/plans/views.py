@@ -48,10 +48,15 @@ JSON_CASES: list[tuple[str, str | None]] = [
     ("''", "invalid_json"),
     ("repeat('x', 4097)", "frame_too_large"),
     ("'{}' || repeat(' ', 4094)", "empty_content"),
+]
+
+#: Cases beyond the usual reader limits, one in so many rows each.
+RARE_CASES: list[tuple[str, str | None]] = [
     ("""'{"deep":' || repeat('[', 1500) || repeat(']', 1500) || ',"content":"' || txt || '"}'""", None),
     ("""'{"long":' || repeat('7', 1200) || ',"content":"' || txt || '"}'""", None),
     ("""'{"content":' || repeat('7', 1200) || '}'""", "invalid_json"),
 ]
+RARE = 499
 
 #: (address, is it acceptable)
 URL_CASES: list[tuple[str, bool]] = [
@@ -73,7 +78,8 @@ URL_CASES: list[tuple[str, bool]] = [
 
 def _json_payload() -> str:
     arms = "\n".join(f"      when {i} then {payload}" for i, (payload, _) in enumerate(JSON_CASES))
-    return f"case event_id % {len(JSON_CASES)}\n{arms}\n    end"
+    rare = "\n".join(f"      when event_id % {RARE} = {i} then {payload}" for i, (payload, _) in enumerate(RARE_CASES))
+    return f"case\n{rare}\n    else case event_id % {len(JSON_CASES)}\n{arms}\n    end end"
 
 
 def _url() -> str:
@@ -90,8 +96,20 @@ select conv_id as conn_id, turn as frame_no,
        when (conv_id * 5 + turn) % 29 = 0 then '{"content":"   "}'
        when (conv_id * 3 + turn) % 31 = 0 then '{"content":5}'
        when (conv_id * 11 + turn) % 37 = 0 then @JSON(repeat(text, 40))
-       else @JSON(text) end as payload
+       else @JSON(text) end as payload,
+  cast(conv_id % 4 as int) as instance_id, (conv_id * 13 + turn) % 41 = 0 as id_failed, (conv_id * 17 + turn) % 43 = 0 as write_failed
 from @T(conversations)""",
+    "consumers": """
+select conv_id as event_id, 1704067200000000 + conv_id * 1000000 + 20000 as t_us, cast(conv_id * 3 % 4 as int) as instance_id,
+  case when conv_id % 6 = 5 then 'not_ready' when conv_id % 6 = 2 then 'restart' else 'ready' end as kind
+from @T(conversations) where turn = 0""",
+    "connections": """
+select conv_id * 2 as event_id, 1704067200000000 + conv_id * 1000000 - 500000 as t_us, 'room-' || cast(conv_id % 10 as @STR) as room_id,
+  'user-' || cast(conv_id % 37 as @STR) as user_id, 'join' as kind
+from @T(conversations) where turn = 0 and conv_id % 9 <> 1
+union all
+select conv_id * 2 + 1, 1704067200000000 + conv_id * 1000000 + 15000000, 'room-' || cast(conv_id % 10 as @STR), 'user-' || cast(conv_id % 37 as @STR), 'leave'
+from @T(conversations) where turn = 0 and conv_id % 3 = 0""",
     "json_cases": f"""
 select event_id as conn_id, 0 as frame_no, 'room-1' as room_id, 'user-' || cast(user_id as @STR) as user_id,
   @US(ts) as t_us, {_json_payload()} as payload
