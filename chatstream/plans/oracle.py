@@ -114,6 +114,10 @@ _NUMBERED = f"""numbered as (
   select *, row_number() over (partition by room_id order by off) as sequence
   from messages m where exists (select 1 from intervals i where {_PRESENT})
 )"""
+_ARRIVED = f"""numbered as (
+  select *, row_number() over (partition by room_id order by arrived_us, event_id) as sequence
+  from arrived m where exists (select 1 from intervals i where {_PRESENT})
+)"""
 _DELIVERIES = f"""deliveries as (
   select m.*, i.user_id as member_id from numbered m join intervals i on {_PRESENT}
 )"""
@@ -460,9 +464,9 @@ ORACLE |= {
 from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103 = 0 then 'user' when event_id % 107 = 0 then 'number'
   when event_id % 109 = 0 then 'content' when event_id % 113 = 0 then 'created' end as kind from events)""",
     "stream_rate_limit": ORACLE["rate_limit"],
-    "stream_sequence": _with(["messages"], "select room_id, event_id, row_number() over (partition by room_id order by off) as sequence from messages"),
-    "stream_rooms": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
-    "stream_fanout": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
+    "stream_sequence": _with(["arrived"], "select room_id, event_id, row_number() over (partition by room_id order by arrived_us, event_id) as sequence from arrived"),
+    "stream_rooms": _with(["membership_log", "arrived"], _INTERVALS, _ARRIVED, _DELIVERIES, "select room_id, event_id, sequence, content, member_id from deliveries"),
+    "stream_fanout": _with(["membership_log", "arrived"], _INTERVALS, _ARRIVED, _DELIVERIES, "select room_id, event_id, sequence, member_id from deliveries"),
     "stream_leases": ORACLE["route_lookup"],
     "stream_liveness": _with(
         ["pongs"],
@@ -496,3 +500,17 @@ ORACLE["flow_deliveries"] = _with(
 ORACLE["log_export"] = _with(
     ["bus_log"], "select part, count(*) as records, min(off) as first_off, max(off) as last_off, 0 as out_of_order from bus_log group by part"
 )
+
+#: A row is late if an earlier batch held a time more than an hour after its own.
+ORACLE["stream_late"] = _with(
+    ["limiter_events"],
+    """batched as (
+  select *, least(3, date_diff('day', timestamp '2024-01-01', make_timestamp(t_us)) // 10 + case when event_id % 13 = 0 then 1 else 0 end) as batch from limiter_events
+), seen as (select b.batch, (select max(t_us) // 1000 from batched e where e.batch < b.batch) - 3600000 as watermark from (select distinct batch from batched) b
+), marked as (select b.*, coalesce(t_us <= greatest(watermark, 0) * 1000, false) as late from batched b join seen using (batch)
+), heard as (select user_id, event_id, t_us from marked where not late)""",
+    _bucket("heard", "t_us, event_id", f"{float(Q.LIMIT_RATE)!r}", Q.LIMIT_BURST),
+    """select m.event_id, m.late, b.allowed from marked m left join ordered o on o.event_id = m.event_id
+left join bucket b on b.user_id = o.user_id and b.rn = o.rn""",
+    recursive=True,
+)

@@ -19,7 +19,7 @@ from chatstream.plans import flow
 from chatstream.plans.views import spark_view
 from chatstream.schema import ECHO_PREFIX
 from chatstream.session import configure, shared_dir, stored
-from chatstream.sources.bus import audit_log_files, read_log_files, write_log_files
+from chatstream.sources.bus import audit_log_files, read_log_files, with_offsets, write_log_files
 from chatstream.streaming import operators as streams
 from chatstream.streaming.run import consume, read_files, split_log, write_files
 
@@ -482,15 +482,29 @@ def liveness_timeouts(t):
 
 #: Later than all data; pushes the watermark past the last row.
 END_US = 4_102_444_800_000_000
+#: Offsets and times of the message log are less than this apart.
+DISORDER = "20 minutes"
+#: Batches by time; and such that one row in thirteen comes a batch later than it should.
+TEN_DAYS = "cast(date_diff(timestamp_micros(t_us), timestamp'2024-01-01') div 10 AS int)"
+LATE_BATCH = f"least(3, {TEN_DAYS} + if(event_id % 13 = 0, 1, 0))"
 
 
-def _stream(t: Tables, rows: DataFrame, **last) -> DataFrame:
-    """Rows stored as a folder and read as a stream, closed by one late row of its own key."""
+def _stream(t: Tables, rows: DataFrame, batches: str | None = None, **last) -> DataFrame:
+    """Rows stored as a folder and read as a stream, closed by one late row of its own key.
+
+    With ``batches``, an expression, the rows come in as many micro-batches as it has values, in their order.
+    """
     path = shared_dir(t.spark, "input")
-    rows.write.parquet(path)
-    end = [F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
-    t.spark.range(1).select(*end).write.mode("append").parquet(path)
-    return read_files(t.spark, rows.schema, path)
+    if batches is None:
+        rows.write.parquet(path)
+    else:
+        held = stored(rows.withColumn("_batch", F.expr(batches)), "batches")
+        for batch in sorted(r[0] for r in held.select("_batch").distinct().collect()):
+            held.where(F.col("_batch") == batch).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    if last:
+        end = [F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        t.spark.range(1).select(*end).write.mode("append").parquet(path)
+    return read_files(t.spark, rows.schema, path, 1 if batches else None)
 
 
 def _run(t: Tables, result: DataFrame) -> DataFrame:
@@ -499,6 +513,18 @@ def _run(t: Tables, result: DataFrame) -> DataFrame:
     return t.spark.read.schema(result.schema).parquet(path)
 
 
+def _arrived(t: Tables) -> DataFrame:
+    """Messages as a log holds them: offsets in the order of arrival, which is not that of their times."""
+    return with_offsets(t.arrived, PARTITIONS, ["arrived_us", "event_id"], t.all).select("part", "off", "room_id", "user_id", "event_id", "t_us", "content")
+
+
+def _timeline(t: Tables, batches: str | None = None) -> DataFrame:
+    """Messages with their audience and stays by slice, from two streams."""
+    membership = _stream(t, t.membership_log, batches)
+    messages = _stream(t, _arrived(t), batches, room_id="end", user_id="end", content="end", event_id=-1, t_us=END_US)
+    return _run(t, streams.stream_timeline(membership, messages, delay=DISORDER))
+
+
 @query
 def stream_ingest(t):
     log = _stream(t, t.bus_log, topic="end", part=0, off=-1, value="")
@@ -513,26 +539,38 @@ def stream_rate_limit(t):
     return _run(t, streams.stream_rate_limit(_stream(t, t.limiter_events, user_id="end", event_id=-1, t_us=END_US), LIMIT_RATE, LIMIT_BURST))
 
 
+@query
+def stream_late(t):
+    """Events in four batches, some of them long after their time: the limiter's verdicts, and what came too late."""
+    late = _stream(t, t.limiter_events, LATE_BATCH, user_id="end", event_id=-1, t_us=END_US)
+    result = _run(t, streams.stream_rate_limit(late, LIMIT_RATE, LIMIT_BURST, delay="1 hour", late=True))
+    event = F.coalesce("event_id", F.get_json_object("late_row", "$.event_id").cast("bigint"))
+    return result.select(event.alias("event_id"), F.col("late_row").isNotNull().alias("late"), "allowed").where("event_id >= 0")
+
+
 @query
 def stream_sequence(t):
-    messages = t.messages.select("room_id", "event_id", "t_us", "off")
-    return _run(t, streams.stream_sequence(_stream(t, messages, room_id="end", event_id=-1, t_us=END_US, off=-1)))
+    """Log records in five batches that leave gaps for each other to fill."""
+    log = _arrived(t).withColumn("audience", F.lit(1).cast("bigint"))
+    return _run(t, streams.stream_sequence(_stream(t, log, "event_id * 31 % 5"))).select("room_id", "event_id", "sequence")
 
 
 @query
 def stream_rooms(t):
-    membership = _stream(t, t.membership_log, room_id="end", user_id="end", kind="leave", event_id=-1, t_us=END_US)
-    messages = _stream(t, t.messages, room_id="end", user_id="end", content="end", event_id=-1, t_us=END_US)
-    return _run(t, streams.stream_rooms(membership, messages))
+    """Join/leave log and message log to numbered deliveries, in three streams that hand over files."""
+    timeline = _timeline(t, TEN_DAYS)
+    messages, stays = timeline.where(F.col("member_id").isNull()), timeline.where(F.col("member_id").isNotNull())
+    numbered = _run(t, streams.stream_sequence(_stream(t, messages.where("event_id >= 0"), "off % 3")))
+    delivered = streams.stream_deliveries(_stream(t, numbered), _stream(t, stays), delay=DISORDER)
+    return _run(t, delivered).select("room_id", "event_id", "sequence", "content", "member_id")
 
 
 @query
 def stream_fanout(t):
-    membership = _stream(t, t.membership_log, room_id="end", user_id="end", kind="leave", event_id=-1, t_us=END_US)
-    messages = _stream(t, t.messages, room_id="end", user_id="end", content="end", event_id=-1, t_us=END_US)
-    numbered = _run(t, streams.stream_numbered(membership, messages))
-    again = _stream(t, numbered, room_id="end", event_id=-1, t_us=END_US, sequence=0, audience=0)
-    return _run(t, streams.stream_fanout(membership, again, shares=4))
+    """The last step on its own: messages numbered in batch, delivered as a stream."""
+    stays = _timeline(t).where(F.col("member_id").isNotNull())
+    numbered = flow.broadcast_messages(_arrived(t), t.intervals, t.all).select("room_id", "event_id", "t_us", "sequence", "content")
+    return _run(t, streams.stream_deliveries(_stream(t, numbered), _stream(t, stays), delay=DISORDER)).select("room_id", "event_id", "sequence", "member_id")
 
 
 @query

@@ -118,6 +118,10 @@ from (select event_id, user_id, ts, event_type || '-' || cast(event_id as @STR)
 select event_id, @US(ts) as t_us, 'room-' || cast((user_id + event_id) % 10 as @STR) as room_id,
   'user-' || cast(user_id as @STR) as user_id, event_type || '-' || cast(event_id as @STR) as content,
   cast(((user_id + event_id) % 10) % 3 as int) as part, event_id as off
+from @T(events) where event_type in ('click', 'view', 'purchase')""",
+    "arrived": """
+select event_id, @US(ts) as t_us, @US(ts) + (event_id * 7919 % 900) * 1000000 as arrived_us, 'room-' || cast((user_id + event_id) % 10 as @STR) as room_id,
+  'user-' || cast(user_id as @STR) as user_id, event_type || '-' || cast(event_id as @STR) as content
 from @T(events) where event_type in ('click', 'view', 'purchase')""",
     "bus_log": """
 select 'chat' as topic, cast(((user_id + event_id) % 10) % 3 as int) as part, event_id as off,
