@@ -1,10 +1,15 @@
 """Quality and toxicity of documents from a weak-label model.
 
 Overlapping heuristic labellers look at a document and vote for bad, good or nothing; the rows of ``labels`` are one more
-labeller, which is silent on most documents. Expectation-maximisation estimates from the votes of all documents how often
-each labeller, where it votes, says what for good and for bad documents (labellers are independent given the class), separately for low
-quality and for toxicity. The posterior of each pattern of votes labels a bounded sample, on which a hashed linear scorer
-is trained; the scorer alone decides, from the whole text only.
+labeller, which is silent on most documents. For toxicity one labeller knows fixed words of abuse, another learns words
+from all labelled documents (how many toxic and how many clean ones hold them), so abuse in words that no list holds is
+met too. Expectation-maximisation estimates from the votes of all documents how often each labeller, where it votes, says
+what for good and for bad documents (labellers are independent given the class), separately for low quality and for
+toxicity. The posterior of each pattern of votes labels a bounded sample, on which a hashed linear scorer is trained. The
+sample takes rare patterns in a larger share; the scores are calibrated to the share they have in the corpus.
+
+The scorer decides, from the whole text only, but a text on which no labeller of low quality has an opinion is never of
+low quality. Absence of abuse speaks for a document only where words could be learned.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatstream.llm.common import stored
@@ -65,16 +70,59 @@ QUALITY = [
     lambda m: 1 if m["lines"] > 0.4 else 0,
     lambda m: 0 if m["words"] < 20 else 1 if not 3 < m["length"] < 8 else -1,
 ]
-#: Labellers of toxicity.
-TOXIC = [lambda words: 1 if len(words & ABUSE) > 1 else -1 if not words & ABUSE else 0]
+#: A word is learned if so many toxic documents hold it and it is so much more frequent there than in clean ones (natural logarithm).
+LEARNED_LEAST, LEARNED_ODDS = 5, 2.5
+#: Learned words at most, those in the most toxic documents; and what they must add up to for a vote.
+LEARNED_WORDS, LEARNED_VOTE = 4096, 6.0
+#: Labellers of toxicity: fixed words, then learned ones.
+TOXIC = [
+    lambda words, learned, seeded: 1 if len(words & ABUSE) > 1 else -1 if seeded and not words & ABUSE else 0,
+    lambda words, learned, seeded: _learned_vote(sum(learned[w] for w in words if w in learned), learned),
+]
+
+
+def _learned_vote(odds: float, learned: dict[str, float]) -> int:
+    return 0 if not learned or 0 < odds < LEARNED_VOTE else 1 if odds else -1
 
 
 def distinct_words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def votes(documents: DataFrame) -> DataFrame:
-    """doc_id, quality_votes and toxic_votes (one character of + - 0 for each labeller) of each row; null texts get none."""
+def learned_words(documents: DataFrame, toxic: DataFrame | None) -> dict[str, float]:
+    """Words that speak for toxicity and their log odds, from all labelled documents (``toxic``: doc_id, t of + or -).
+
+    Without labels (None) documents with two words of abuse stand in for toxic ones and those without for clean ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[int]] = {}
+            for text, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = distinct_words(text.as_py())
+                t = t or {0: "-", 1: None}.get(len(words & ABUSE), "+")
+                for word in {*words, ""} if t else ():
+                    held.setdefault(word, [0, 0])[t == "+"] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in (0, 1))], names=["word", "clean", "toxic"])
+
+    labelled = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = labelled.withColumn("t", F.lit(None).cast("string")) if toxic is None else labelled.join(toxic.filter("t <> '0'"), "doc_id")
+    counts = labelled.select("text", "t").mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = stored(counts.filter(f"toxic >= {LEARNED_LEAST} or word = ''"), "words")
+    all_ = counts.filter("word = ''").first()  # the empty word is in every document
+    if all_ is None:
+        return {}
+    odds = F.log((F.col("toxic") + 0.5) / (all_.toxic + 1)) - F.log((F.col("clean") + 0.5) / (all_.clean + 1))
+    best = counts.filter("word <> ''").withColumn("odds", odds).filter(F.col("odds") >= LEARNED_ODDS).orderBy(F.col("toxic").desc(), "word").limit(LEARNED_WORDS)
+    return {r.word: r.odds for r in best.collect()}
+
+
+def votes(documents: DataFrame, learned: dict[str, float] | None = None, seeded: bool = True) -> DataFrame:
+    """doc_id, quality_votes and toxic_votes (one character of + - 0 for each labeller) of each row; null texts get none.
+
+    ``seeded`` says that nobody labelled toxic documents: then to lack the fixed words is a vote too.
+    """
+    learned = learned or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = {1: "+", -1: "-", 0: "0"}
@@ -84,7 +132,7 @@ def votes(documents: DataFrame) -> DataFrame:
                 text = value.as_py() or ""
                 m, words = measures(text), distinct_words(text)
                 low.append("".join(sign[f(m)] for f in QUALITY))
-                toxic.append("".join(sign[f(words)] for f in TOXIC))
+                toxic.append("".join(sign[f(words, learned, seeded)] for f in TOXIC))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low), pa.array(toxic)], names=["doc_id", "quality_votes", "toxic_votes"])
 
     rows = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -122,10 +170,13 @@ def word_features(text: str) -> np.ndarray:
 
 
 def measure_features(text: str) -> np.ndarray:
-    """Buckets of a text's measures in steps, alone and in pairs; texts of a few words have one of their own."""
-    m = measures(text)
+    return _measured(measures(text))
+
+
+def _measured(m: dict[str, float]) -> np.ndarray:
+    """Buckets of a text's measures in steps, alone and in pairs; those of a few words are counted apart and are less."""
     if m["words"] < 8:
-        return _buckets(["few"])
+        return _buckets(["few", f"few bars{min(20, int(m['bars'] * 20))}", f"few lines{min(10, int(m['lines'] * 10))}"])
     steps = [f"{k}{min(20, int(m[k] * per))}" for k, per in (("symbols", 50), ("capitals", 20), ("repeated", 20), ("bars", 20), ("lines", 10))]
     return _buckets([*steps, f"variety{int(m['variety'] * 10)}/{len(str(int(m['words'])))}", f"length{min(12, int(m['length']))}", *(f"{a}&{b}" for k, a in enumerate(steps) for b in steps[:k])])
 
@@ -145,20 +196,50 @@ class Scorer:
         """Probabilities of low quality and of toxicity."""
         if not text or not text.strip():
             return 0.0, 0.0
-        return _share(self.low, measure_features(text)) if self.low else 0.0, _share(self.toxic, word_features(text)) if self.toxic else 0.0
+        m = measures(text)
+        judged = self.low and any(f(m) for f in QUALITY)
+        return _share(self.low, _measured(m)) if judged else 0.0, _share(self.toxic, word_features(text)) if self.toxic else 0.0
 
 
 def _share(model: tuple[np.ndarray, float], buckets: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(model[0][buckets].sum() + model[1], -30, 30))))
 
 
-def _fitted(rows: list[tuple[np.ndarray, float]], l1: float) -> tuple[np.ndarray, float] | None:
-    """A linear scorer of the rows (buckets, posterior) that are sure; None unless they show both classes."""
-    sure = [(b, np.ones(len(b)), int(p > 0.5)) for b, p in rows if not UNSURE[0] < p < UNSURE[1]]
-    if len({k for _, _, k in sure}) < 2:
+def _fitted(rows: list[tuple[np.ndarray, float, float]], l1: float) -> tuple[np.ndarray, float] | None:
+    """A linear scorer of the rows (buckets, posterior, documents they stand for) that are sure; None unless they show both classes."""
+    sure = [(b, np.ones(len(b)), int(p > 0.5), n) for b, p, n in rows if not UNSURE[0] < p < UNSURE[1]]
+    if len({k for _, _, k, _ in sure}) < 2:
         return None
-    weights, bias = follow_leader(sure, 2, alpha=0.1, l1=l1, l2=0.1)
-    return (weights[1] - weights[0]).astype(np.float32), float(bias[1] - bias[0])
+    weights, bias = follow_leader([r[:3] for r in sure], 2, alpha=0.1, l1=l1, l2=0.1)
+    weight, intercept = (weights[1] - weights[0]).astype(np.float32), float(bias[1] - bias[0])
+    slope, shift = _calibrated(np.array([weight[b].sum() + intercept for b, *_ in sure]), np.array([r[2] for r in sure]), np.array([r[3] for r in sure], float))
+    return weight * np.float32(slope), intercept * slope + shift
+
+
+def _calibrated(logits: np.ndarray, bad: np.ndarray, stand_for: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that give the logits the odds among all documents, by Newton's method on the weighted log loss.
+
+    Rare classes are taken in a larger share, so each row counts for as many documents as it stands for; the slope is held
+    near 1 by a small penalty where the classes are apart.
+    """
+    w = stand_for / stand_for.mean()
+    at = np.array([1.0, 0.0])
+    x = np.stack([logits, np.ones(len(logits))], axis=1)
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((w * (np.logaddexp(0, z) - bad * z)).sum() + 0.05 * (v[0] - 1) ** 2 + 1e-4 * v[1] ** 2)
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        gradient = x.T @ (w * (p - bad)) + [0.1 * (at[0] - 1), 2e-4 * at[1]]
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([0.1, 2e-4]), gradient)
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step /= 2
+        at = at - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 def _kind(bad: float) -> str:
@@ -176,7 +257,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from the votes on all documents; contradicting labels of one doc_id are none, and no labels at all are no hindrance."""
     sign = lambda good: F.when(F.min(good) != F.max(good), "0").when(F.min(good) == 1, "-").when(F.min(good) == 0, "+").otherwise("0")
     given = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(sign(F.col("quality").cast("int")).alias("q"), sign(1 - F.col("toxic").cast("int")).alias("t"))
-    known = votes(documents).join(given, "doc_id", "left").select("doc_id", F.concat("quality_votes", F.coalesce("q", F.lit("0"))).alias("low"), F.concat("toxic_votes", F.coalesce("t", F.lit("0"))).alias("toxic"))
+    seeded = given.filter("t <> '0'").isEmpty()
+    learned = learned_words(documents, None if seeded else given.select("doc_id", "t"))
+    known = votes(documents, learned, seeded).join(given, "doc_id", "left").select("doc_id", F.concat("quality_votes", F.coalesce("q", F.lit("0"))).alias("low"), F.concat("toxic_votes", F.coalesce("t", F.lit("0"))).alias("toxic"))
     known = stored(known, "votes")
     total, by = 0, {}
     for name in ("low", "toxic"):  # at most 3 to the power of the labellers rows
@@ -191,21 +274,26 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     quota = quotas(sizes)
     place = F.xxhash64(F.lit("quality"), "doc_id")
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(2**63 - 1, int(min(1.0, 2 * (quota[k] + 100) / n) * 2**64) - 2**63))])
-    wanted = F.create_map(*[F.lit(x) for k in sizes for x in (k, quota[k])])
-    near = known.withColumn("place", place).filter(F.col("place") <= limit[F.col("stratum")])  # about twice the sample
-    first = Window.partitionBy("stratum").orderBy("place", "low", "toxic")
-    chosen = stored(near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= wanted[F.col("stratum")]).select("doc_id", "low", "toxic", "place"), "chosen")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    near = stored(known.withColumn("place", place).filter(F.col("place") <= limit[F.col("stratum")]), "chosen")  # about twice the sample
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(near), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pa.array([f(t.as_py()).astype(np.uint16).tobytes() for t in batch.column(0)], pa.binary()) for f in (measure_features, word_features)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=["low", "toxic", "place", "of_measures", "of_words"])
-
-    taken = sample.select("text", "low", "toxic", "place").mapInArrow(run, "low string, toxic string, place long, of_measures binary, of_words binary").collect()
-    taken.sort(key=lambda r: (r.place, r.of_words))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=["low", "toxic", "stratum", "place", "of_measures", "of_words"])
+
+    found = sample.select("text", "low", "toxic", "stratum", "place").mapInArrow(run, "low string, toxic string, stratum string, place long, of_measures binary, of_words binary").collect()
+    taken, used = [], dict.fromkeys(sizes, 0)
+    for r in sorted(found, key=lambda r: (r.place, r.low, r.toxic, r.of_words)):
+        if used[r.stratum] < quota[r.stratum]:
+            used[r.stratum] += 1
+            taken.append(r)
     read = lambda b: np.frombuffer(b, np.uint16).astype(np.int64)
-    return Scorer(_fitted([(read(r.of_measures), by["low"][r.low]) for r in taken], 0.1), _fitted([(read(r.of_words), by["toxic"][r.toxic]) for r in taken], 0.3))
+    stands_for = {k: sizes[k] / max(1, n) for k, n in used.items()}
+    return Scorer(
+        _fitted([(read(r.of_measures), by["low"][r.low], stands_for[r.stratum]) for r in taken], 0.1),
+        _fitted([(read(r.of_words), by["toxic"][r.toxic], stands_for[r.stratum]) for r in taken], 0.3),
+    )
 
 
 def scored(documents: DataFrame, scorer: Scorer) -> DataFrame:

@@ -207,6 +207,37 @@ def test_quality_and_toxicity(spark):
     assert weak_quality.scored(frame.limit(0), weak_quality.train(frame.limit(0), given)).count() == 0
 
 
+def test_toxic_words_that_no_list_holds_and_short_clean_texts(spark):
+    """Labelled documents teach the words; others with them go, and short clean texts stay."""
+    rnd = random.Random(21)
+    words = [a + b for a in ("ther", "onin", "edha", "stou", "whan", "lyre") for b in ("ing", "tion", "ent", "ers", "able", "hat")]
+    abuse = ["grrmbl", "zzyxo", "quarkle", "fnordy", "blattak", "snorfel"]
+    docs, labels = [], []
+    for i in range(1000):
+        own, toxic = rnd.choices(words, k=rnd.randint(15, 90)), i % 10 == 0
+        if toxic:
+            own[2:2] = rnd.sample(abuse, 3)
+        if i % 10 == 1:
+            own = [w + "%%%" for w in own]
+        docs.append((i, " ".join(own)))
+        if i < 500:
+            labels.append((i, int(i % 10 != 1), int(toxic)))
+    short = [(2000 + i, " ".join(rnd.choices(words, k=rnd.randint(1, 7))).capitalize() + ".") for i in range(100)]
+    frame, given = spark.createDataFrame([*docs, *short], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in weak_quality.scored(frame, weak_quality.train(frame, given)).collect()}
+    assert sum(not kept[i] for i in range(500, 1000) if i % 10 == 0) >= 0.9 * 50
+    assert sum(not kept[i] for i in range(500, 1000) if i % 10 == 1) >= 0.9 * 50
+    assert sum(kept[i] for i in range(1000) if i % 10 > 1) >= 0.98 * 800
+    assert all(kept[i] for i, _ in short)
+
+
+def test_a_text_nobody_judges_is_kept():
+    eager = weak_quality.Scorer((np.zeros(1 << 16, np.float32), 9.0), None)
+    assert eager.shares("Yes.") == (0.0, 0.0) and eager.shares("a | b | c")[0] > 0.99 and eager.shares(None) == (0.0, 0.0)
+    long = "tion " * 200_000
+    assert eager.shares(long)[0] > 0.99
+
+
 def test_a_rare_class_is_in_the_sample(spark, monkeypatch):
     monkeypatch.setattr(weak_quality, "TRAIN_DOCUMENTS", 180)
     rnd = random.Random(11)
