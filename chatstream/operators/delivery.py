@@ -81,12 +81,18 @@ def delivery_report(sent: DataFrame, received: DataFrame, errors: DataFrame | No
 def floor_percentiles(df: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
     """Exact ``sorted[(n - 1) * p / 100]`` of a BIGINT column, per group.
 
-    Nothing is sorted as a whole: equal values are counted first, then the rank
-    is narrowed down 21 bits at a time, so each step sums at most 2^22 counts
-    per group whatever the number of rows.
+    Nothing is sorted as a whole: the rank is narrowed down 21 bits at a time, so
+    each step sums at most 2^22 counts per group whatever the number of rows.
+    Without groups each step counts digits straight from the rows, before any
+    shuffle, and the rows that go on are found by a filter on the digits so far
+    (a row for each percentile). With groups equal values are counted first.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(F.col(value).isNotNull())
+    if by:
+        counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = rows.select(F.col(value).alias("_v"), F.lit(1).cast("bigint").alias("_n"))
     mask = (1 << _DIGIT_BITS) - 1
     digits = {
         "_d0": F.shiftright("_v", 2 * _DIGIT_BITS),
@@ -116,7 +122,7 @@ def floor_percentiles(df: DataFrame, value: str, percents: list[int], by: list[s
     known = ["_d0"]
     for digit in ["_d1", "_d2"]:
         scope = [*by, "percent", "_rank", *known]
-        inside = counts.join(hit, [*by, *known]).groupBy(*scope, digit).agg(F.sum("_n").alias("_n"))
+        inside = counts.join(hit if by else F.broadcast(hit), [*by, *known]).groupBy(*scope, digit).agg(F.sum("_n").alias("_n"))
         up_to = Window.partitionBy(*scope).orderBy(digit)
         hit = (
             inside.withColumn("_cum", F.sum("_n").over(up_to))

@@ -11,6 +11,8 @@ from chatstream.schema import HOUR_US
 
 #: Log positions per slice when messages of a room are numbered.
 OFFSETS_PER_SLICE = 1_000_000
+#: Slices in a stretch, by which stays are laid out first.
+STRETCH = 64
 
 
 def membership_history(log: DataFrame, spread: Spread = HOT) -> DataFrame:
@@ -122,22 +124,34 @@ def fanout(
 
     Stays are laid out over time slices, so the join key is (room, slice) and a
     busy room is spread over as many tasks as it has slices; a slice that is
-    still too large is split by adaptive execution.
+    still too large is split by adaptive execution. A stay goes only into slices
+    in which its room has a message: first into stretches of ``STRETCH`` slices,
+    then into the slices of the stretches that are left, so a stay that lasts for
+    years costs as much as there is to deliver.
     """
+    covering = in_trimmed_rooms(messages if times is None else times)
+
     def slice_no(c):
         return floor_div(c, slice_us)
 
-    covering = messages if times is None else times
-    span = covering.agg(F.struct(F.min("t_us").alias("first"), F.max("t_us").alias("last"))).scalar()
-    first, last = span.getField("first"), span.getField("last")
-    stays = (
-        intervals.select("room_id", F.col("user_id").alias("member_id"), "joined_at", "left_at")
-        .withColumn("_from", F.greatest(slice_no(F.col("joined_at")), slice_no(first)))
-        .withColumn("_to", F.least(slice_no(F.coalesce("left_at", last)), slice_no(last)))
-        .where(F.col("_from") <= F.col("_to"))
-        .withColumn("_slice", F.explode(F.sequence("_from", "_to")))
-        .drop("_from", "_to")
-    )
+    def within(stays: DataFrame, name: str, width: int, outer: str | None) -> DataFrame:
+        """The stays once for each number of this width that they touch and the room has messages in."""
+        def number(c):
+            return floor_div(c, width)
+
+        start, end = number(F.col("joined_at")), number(F.coalesce("left_at", F.col("_last")))
+        if outer:
+            start, end = F.greatest(start, F.col(outer) * STRETCH), F.least(end, F.col(outer) * STRETCH + STRETCH - 1)
+        else:
+            start, end = F.greatest(start, number(F.col("_first"))), F.least(end, number(F.col("_last")))
+        laid = stays.withColumns({"_from": start, "_to": end}).where("_from <= _to").withColumn(name, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+        spoken = covering.select("room_id", number(F.col("t_us")).alias(name)).distinct()
+        return laid.join(spoken, ["room_id", name], "left_semi")
+
+    spans = covering.groupBy("room_id").agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
+    stays = intervals.select("room_id", F.col("user_id").alias("member_id"), "joined_at", "left_at").join(spans, "room_id")
+    stays = within(stays, "_stretch", slice_us * STRETCH, None)
+    stays = within(stays, "_slice", slice_us, "_stretch").drop("_first", "_last", "_stretch")
     sliced = in_trimmed_rooms(messages).withColumn("_slice", slice_no(F.col("t_us")))
     present = (F.col("joined_at") <= F.col("t_us")) & (F.col("left_at").isNull() | (F.col("t_us") < F.col("left_at")))
     # The size estimate does not know how far the stays were laid out, so never broadcast them.

@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatstream.functions.hashing import partition_for_room
 from chatstream.functions.text import is_blank, trim_space
 from chatstream.functions.urls import valid_lease
 from chatstream.operators.ordered import ALL, HOT, Running, Spread, running
@@ -80,3 +81,19 @@ def route_lookup(probes: DataFrame, log: DataFrame, spread: Spread = ALL) -> Dat
             F.when(live, F.col("_current.websocket_url")).alias("websocket_url"),
         )
     )
+
+
+def route_requests(requests: DataFrame, log: DataFrame, partitions: list[int], spread: Spread = ALL) -> DataFrame:
+    """Route of a room as of each request (``event_id, t_us, room_id``): room to partition to lease.
+
+    ``http_status`` is 400 for a blank room, 503 while its partition has no live lease, else 200; only then the answer
+    names partition and address. The token never leaves.
+    """
+    room = trim_space(F.coalesce("room_id", F.lit("")))
+    asked = requests.select("event_id", "t_us", room.alias("room_id")).withColumn("part", partition_for_room(F.col("room_id"), partitions))
+    found = route_lookup(asked, log, spread)
+    code = F.when(F.col("room_id") == "", 400).when(F.col("part").isNull() | (F.col("status") != "live"), 503).otherwise(200)
+    given = F.col("http_status") == 200
+    return found.withColumn("http_status", code).select(
+        "event_id", "t_us", "room_id", "http_status", *[F.when(given, F.col(c)).alias(n) for c, n in (("part", "partition"), ("gateway_id", "gateway_id"), ("websocket_url", "websocket_url"))]
+    )

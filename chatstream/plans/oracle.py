@@ -143,15 +143,17 @@ _ECHO = f"""echoes as (
   from echoes group by user_id, content, sent_ns
 )"""
 _HISTOGRAM = "samples as (\n" + "\nunion all ".join(
-    [
-        f"""select 'chatstream_publish_duration_seconds_bucket' as metric, 'le="{b}"' as labels,
-  cast(count(*) filter (seconds <= {b}) as decimal(38,9)) as value from timings"""
-        for b in S.LATENCY_BUCKETS
-    ]
-    + [
-        """select 'chatstream_publish_duration_seconds_bucket', 'le="+Inf"', count(*) from timings""",
-        """select 'chatstream_publish_duration_seconds_sum', '', sum(cast(seconds as decimal(28,9))) from timings""",
-        """select 'chatstream_publish_duration_seconds_count', '', count(*) from timings""",
+    row
+    for metric, column in (("publish_duration_seconds", "seconds"), ("consumer_handler_duration_seconds", "handler_seconds"))
+    for row in [
+        *(
+            f"""select 'chatstream_{metric}_bucket' as metric, 'le="{b}"' as labels,
+  cast(count(*) filter ({column} <= {b}) as decimal(38,9)) as value from timings"""
+            for b in S.LATENCY_BUCKETS
+        ),
+        f"""select 'chatstream_{metric}_bucket', 'le="+Inf"', count(*) from timings""",
+        f"""select 'chatstream_{metric}_sum', '', sum(cast({column} as decimal(28,9))) from timings""",
+        f"""select 'chatstream_{metric}_count', '', count(*) from timings""",
     ]
 ) + "\n)"
 _COUNTERS = """counters as (
@@ -417,6 +419,7 @@ from (select *, sum(delta) over (order by t_us, event_id) as c from changes)""",
     ),
     "access_log": """select event_id, 'GET' as method, '/' || event_type as path,
   case event_type when 'error' then 500 when 'purchase' then 404 when 'signup' then 201 else 200 end as status,
+  value as latency_ms, '10.' || user_id % 7 || '.0.' || event_id % 250 as client_ip,
   case event_type when 'error' then 'error' when 'purchase' then 'warn' else 'info' end as level from events""",
     "access_summary": """select level, 'GET' as method, path, status, count(*) as requests, cast(sum(cast(value as decimal(18,3))) as double) as latency_ms,
   max(value) as max_latency_ms
@@ -514,3 +517,29 @@ ORACLE["stream_late"] = _with(
 left join bucket b on b.user_id = o.user_id and b.rn = o.rn""",
     recursive=True,
 )
+
+_ROUTES = """marked as (
+  select *, count(*) filter (kind = 'register') over w as epoch from line window w as (partition by part order by t_us, event_id)
+), current as (
+  select m.*, r.t_us as reg_t, r.token as reg_token, r.gateway_id as reg_gateway, r.websocket_url as reg_url, r.t_us + r.ttl_us as ends
+  from marked m left join marked r on r.part = m.part and r.epoch = m.epoch and r.kind = 'register'
+), ended as (
+  select *, min(case when kind = 'release' and token = reg_token then t_us end)
+    over (partition by part, epoch order by t_us, event_id rows between unbounded preceding and 1 preceding) as released_t from current
+), judged as (
+  select *, case when room = '' then 400 when epoch > 0 and (released_t is null or released_t >= ends) and t_us < ends then 200 else 503 end as http_status
+  from ended where kind = 'resolve'
+)"""
+ORACLE["route_by_room"] = _with(
+    ["lease_log", "route_requests"],
+    f"""asked as (select event_id, t_us, trim(room_id, ' ' || chr(9)) as room from route_requests)
+, line as (
+  select event_id, t_us, part, gateway_id, websocket_url, token, ttl_us, kind, null as room from lease_log where kind <> 'resolve'
+  union all select event_id, t_us, case when room <> '' then {_part('room')} end, null, null, null, null, 'resolve', room from asked
+)""",
+    _ROUTES,
+    """select event_id, t_us, room as room_id, http_status, case when http_status = 200 then part end as partition,
+  case when http_status = 200 then reg_gateway end as gateway_id, case when http_status = 200 then reg_url end as websocket_url from judged""",
+)
+ORACLE["stream_resume"] = f"""select part, off, record_class, case when record_class = 'valid' then 1 else 0 end as handled
+from ({ORACLE['stream_ingest']})"""

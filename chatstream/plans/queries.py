@@ -7,6 +7,7 @@ from dataclasses import replace
 from fractions import Fraction
 from functools import cached_property, reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -373,6 +374,11 @@ def route_lookup(t):
     return routing.route_lookup(probes, log.where(F.col("kind") != "resolve"), t.all)
 
 
+@query
+def route_by_room(t):
+    return routing.route_requests(t.route_requests, t.lease_log.where(F.col("kind") != "resolve"), PARTITIONS, t.all)
+
+
 # --- delivery audit -----------------------------------------------------------
 
 
@@ -409,18 +415,20 @@ def latency_percentiles_by_user(t):
 # --- metrics ------------------------------------------------------------------
 
 
+def _histograms(t: Tables) -> DataFrame:
+    """Time to publish a message, and to hand a consumed one to its room."""
+    published = metrics.latency_histogram(t.timings, "seconds", "chatstream_publish_duration_seconds")
+    return published.unionByName(metrics.latency_histogram(t.timings, "handler_seconds", "chatstream_consumer_handler_duration_seconds"))
+
+
 @query
 def latency_histogram(t):
-    samples = metrics.latency_histogram(t.timings, "seconds", "chatstream_publish_duration_seconds")
-    return samples.withColumn("value", F.col("value").cast("double"))
+    return _histograms(t).withColumn("value", F.col("value").cast("double"))
 
 
 @query
 def metrics_lines(t):
-    samples = metrics.frame_counters(t.checked).unionByName(
-        metrics.latency_histogram(t.timings, "seconds", "chatstream_publish_duration_seconds")
-    )
-    return metrics.metrics_lines(samples)
+    return metrics.metrics_lines(metrics.frame_counters(t.checked).unionByName(_histograms(t)))
 
 
 @query
@@ -430,7 +438,7 @@ def metrics_scrape(t):
     peak = metrics.connections_peak(rooms.connection_changes(t.intervals), t.all)
     parts = [
         metrics.frame_counters(t.checked),
-        metrics.latency_histogram(t.timings, "seconds", "chatstream_publish_duration_seconds"),
+        _histograms(t),
         metrics.samples(dropped, {"room_client_messages_dropped_total": "dropped"}),
         metrics.samples(peak, {"websocket_connections_current": "current"}),
         metrics.samples(
@@ -465,7 +473,7 @@ def consumer_state(t):
 
 @query
 def access_log(t):
-    return metrics.access_log(t.access_rows).select("event_id", "method", "path", "status", "level")
+    return metrics.access_log(t.access_rows).select("event_id", "method", "path", "status", "latency_ms", "client_ip", "level")
 
 
 @query
@@ -534,6 +542,29 @@ def stream_ingest(t):
     return stored.where(F.col("off") >= 0).select("part", "off", "record_class", "error_class", "invalid_code", "message_id", "room_id")
 
 
+@query
+def stream_resume(t):
+    """The log in four bounded batches; the handler of the second fails, and the query resumes from its checkpoint."""
+    log = _stream(t, t.bus_log, "off % 4", topic="end", part=0, off=-1, value="")
+    records, handled, checkpoint = (shared_dir(t.spark, purpose) for purpose in ("records", "handled", "checkpoint"))
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        batch.select("part", "off").write.mode("overwrite").parquet(f"{handled}/batch_id={batch_id}")
+
+    def unavailable(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("the rooms are not reachable")
+        deliver(batch, batch_id)
+
+    try:
+        consume(log, records, checkpoint, unavailable).awaitTermination()
+    except StreamingQueryException:
+        consume(log, records, checkpoint, deliver).awaitTermination()
+    kept = t.spark.read.schema(split_log(t.bus_log).schema).parquet(records).where(F.col("off") >= 0)
+    done = t.spark.read.schema("part int, off bigint").parquet(handled).groupBy("part", "off").agg(F.count("*").alias("handled"))
+    return kept.join(done, ["part", "off"], "left").select("part", "off", "record_class", F.coalesce("handled", F.lit(0)).alias("handled"))
+
+
 @query
 def stream_rate_limit(t):
     return _run(t, streams.stream_rate_limit(_stream(t, t.limiter_events, user_id="end", event_id=-1, t_us=END_US), LIMIT_RATE, LIMIT_BURST))

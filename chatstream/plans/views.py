@@ -181,6 +181,9 @@ select event_id, @US(ts) as t_us, cast(user_id % 3 as int) as part,
   'token-' || cast(event_id % 4 as @STR) as token, cast(1800000000 as bigint) as ttl_us,
   case event_type when 'signup' then 'register' when 'error' then 'release' else 'resolve' end as kind
 from @T(events) where event_type in ('signup', 'error', 'view')""",
+    "route_requests": """
+select event_id, @US(ts) as t_us, case when event_id % 43 = 0 then ' ' else ' room-' || cast((user_id + event_id) % 10 as @STR) || chr(9) end as room_id
+from @T(events) where event_type in ('click', 'purchase')""",
     "lease_offers": f"""
 select event_id, cast(user_id % 3 as int) as part, case when event_id % 47 = 0 then ' ' else 'gw-1' end as gateway_id,
   case when event_id % 53 = 0 then '' else 'token-1' end as token, {_url()} as websocket_url,
@@ -206,14 +209,14 @@ from @T(events) where event_type in ('click', 'view') and event_id % 11 = 0""",
     "client_errors": """
 select event_id, case when event_id % 3 = 0 then 'write' else 'read' end as kind from @T(events) where event_type = 'error'""",
     "timings": """
-select event_id, @US(ts) as t_us, value / 10 as seconds from @T(events)""",
+select event_id, @US(ts) as t_us, value / 10 as seconds, value / 128 as handler_seconds from @T(events)""",
     "attempts": """
 select event_id, @US(ts) as t_us, cast(user_id as @STR) as user_id, cast((user_id + 1) % 4 as int) as instance_id,
   case when event_id % 97 <> 0 then 'm-' || cast(event_id as @STR) end as message_id, event_id % 89 <> 0 as published
 from @T(events)""",
     "access_rows": """
 select event_id, 'GET' as method, '/' || event_type || case when event_id % 3 = 0 then '?token=' || cast(event_id as @STR) else '' end as path,
-  value as latency_ms,
+  value as latency_ms, '10.' || cast(user_id % 7 as @STR) || '.0.' || cast(event_id % 250 as @STR) as client_ip,
   case event_type when 'error' then 500 when 'purchase' then 404 when 'signup' then 201 else 200 end as status
 from @T(events)""",
     "pongs": """

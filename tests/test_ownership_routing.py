@@ -130,3 +130,16 @@ def test_lease_key(spark):
     df = spark.createDataFrame([(" p:x: ",), ("",), (None,), ("p::",)], "prefix string")
     got = [r[0] for r in df.select(routing.lease_key(F.col("prefix"), F.lit("chat"), F.lit("g"), F.lit(3))).collect()]
     assert got == ["p:x:chat:g:partition:3", "chatstream:routing:chat:g:partition:3", "chatstream:routing:chat:g:partition:3", "p::chat:g:partition:3"]
+
+
+def test_route_of_a_room(spark):
+    part = spark.range(1).select(partition_for_room(F.lit("r"), [0, 1, 2]).alias("p")).first().p
+    log = spark.createDataFrame(
+        [(1, 10, part, "register", "gw", "wss://g.test/ws", "t", 100), (2, 50, part, "release", "gw", "", "other", 0), (3, 60, part, "release", "gw", "", "t", 0)],
+        "event_id long, t_us long, part int, kind string, gateway_id string, websocket_url string, token string, ttl_us long")
+    asked = spark.createDataFrame([(11, 5, "r"), (12, 20, " r\t"), (13, 55, "r"), (14, 70, "r"), (15, 20, " "), (16, 20, None)], "event_id long, t_us long, room_id string")
+    got = {r.event_id: tuple(r)[3:] for r in routing.route_requests(asked, log, [0, 1, 2]).collect()}
+    live, gone = (200, part, "gw", "wss://g.test/ws"), (503, None, None, None)
+    assert got == {11: gone, 12: live, 13: live, 14: gone, 15: (400, None, None, None), 16: (400, None, None, None)}
+    assert all(r.http_status in (400, 503) for r in routing.route_requests(asked, log, []).collect())
+    assert "token" not in routing.route_requests(asked, log, [0]).columns

@@ -91,3 +91,16 @@ def test_order_violations(spark, rows):
     df = spark.createDataFrame([("r", 1, 1), ("r", 2, 3), ("r", 3, 2), ("r", 4, 4), ("s", 1, 9)], "room_id string, t_us long, off long")
     for width in [1, 2, 1000]:
         assert rows(rooms.order_violations(df, ["room_id"], "off", Spread(width_us=width)), "off", "previous") == [(2, 3)]
+
+
+def test_stays_of_decades_cost_only_the_slices_with_messages(spark):
+    """Laid out over every second of fifty years these stays would be billions of rows."""
+    year = 31_557_600_000_000
+    stays = spark.createDataFrame([(f"r{k % 2}", f"u{k}", 0, k, None if k % 3 else 49 * year, None) for k in range(6)],
+                                  "room_id string, user_id string, joined_at long, join_id long, left_at long, leave_id long")
+    said = spark.createDataFrame([(i, f"r{i % 2}", t, i) for i, t in enumerate([5, 6, year, 49 * year - 1, 49 * year, 50 * year, 50 * year + 1])],
+                                 "event_id long, room_id string, t_us long, sequence long")
+    got = sorted((r.event_id, r.member_id) for r in rooms.fanout(said, stays, slice_us=1_000_000).collect())
+    want = sorted((i, f"u{k}") for i, t in enumerate([5, 6, year, 49 * year - 1, 49 * year, 50 * year, 50 * year + 1])
+                  for k in range(6) if k % 2 == i % 2 and (k % 3 or t < 49 * year))
+    assert got == want
