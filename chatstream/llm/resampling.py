@@ -169,7 +169,7 @@ def scored(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: int
     """doc_id, n_words, n_features, weight and score of every document."""
     spark = docs.sparkSession
     both = docs.select("text").unionByName(target.select("text"))
-    words = spark.sparkContext.broadcast(frequent_words(both, words_of, dictionary_words))
+    words = spark.sparkContext.broadcast([word for word, _ in frequent_words(both, words_of, dictionary_words)])
     key = f"words-{uuid.uuid4().hex}"
     gain = gains(bucket_counts(docs, words, key, order, buckets), bucket_counts(target, words, key, order, buckets))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chatstream.llm.common import stored
 
 #: Characters of text that a task handles at a time.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -27,8 +27,8 @@ def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-def frequent_words(texts: DataFrame, words: Callable[[str], Iterable[bytes]], limit: int, at_least: int = 1) -> list[bytes]:
-    """Words of the column ``text`` that occur ``at_least`` times, the most frequent ones, at most ``limit``, in byte order.
+def frequent_words(texts: DataFrame, words: Callable[[str], Iterable[bytes]], limit: int, at_least: int = 1) -> list[tuple[bytes, int]]:
+    """Words of the column ``text`` that occur ``at_least`` times, and how often: at most ``limit``, the most frequent first (then in byte order).
 
     All texts are counted. Of words that occur equally often all are taken or none, so the list does not depend on
     chance; what is left out is for the caller to handle another way.
@@ -53,4 +53,6 @@ def frequent_words(texts: DataFrame, words: Callable[[str], Iterable[bytes]], li
         if held > limit:
             break
         lowest = r.n
-    return [] if lowest is None else sorted(bytes(r.word) for r in counted.where(F.col("n") >= lowest).select("word").collect())
+    if lowest is None:
+        return []
+    return [(w, -n) for n, w in sorted((-r.n, bytes(r.word)) for r in counted.where(F.col("n") >= lowest).collect())]

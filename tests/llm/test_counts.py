@@ -143,8 +143,9 @@ def plain_collocations(docs, order, least, absorbed, top):
     return {(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, rows in found.items() for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])}
 
 
-@pytest.mark.parametrize(("order", "words"), [(3, 1000), (3, 3), (3, 0), (4, 5), (2, 2)])
-def test_collocations_equal_a_plain_count(spark, order, words):
+@pytest.mark.parametrize(("order", "words", "common"), [(3, 1000, 1024), (3, 3, 4), (3, 0, 4), (4, 5, 8), (2, 2, 2), (3, 1000, 4), (4, 1000, 10), (2, 1000, 5)])
+def test_collocations_equal_a_plain_count(spark, monkeypatch, order, words, common):
+    monkeypatch.setattr(collocations, "COMMON", common)
     rng = random.Random(order * 10 + words)
     some = ["The", "of", "ünd", "\x00", "a\x1cb", "x", "y", "\U0001f600z"]
     docs = [(i, "".join(rng.choice(some) + rng.choice([" ", " ", "\t", "  ", ", ", "\n", ".", " ! "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None, ""])) for i in range(60)]
@@ -168,7 +169,8 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_frequent_words_take_equal_counts_together(spark):
     frame = spark.createDataFrame([("a a a b b c c d",), (None,), ("",)], "text string")
     for limit, want in ((0, []), (1, [b"a"]), (2, [b"a"]), (3, [b"a", b"b", b"c"]), (9, [b"a", b"b", b"c", b"d"])):
-        assert frequent_words(frame, lambda t: t.encode().split(), limit) == want
+        assert [w for w, _ in frequent_words(frame, lambda t: t.encode().split(), limit)] == want
+    assert frequent_words(frame, lambda t: t.encode().split(), 9, 2) == [(b"a", 3), (b"b", 2), (b"c", 2)]
 
 
 # --- resampling
