@@ -482,8 +482,9 @@ from (select *, case when event_id % 101 = 0 then 'not-json' when event_id % 103
         """select s.event_id, s.user_id, e.received_ns - e.sent_ns as latency_ns from sent s join echoes e on e.user_id = s.user_id and e.content = s.content""",
     ),
     "stream_metrics": _with(
-        ["frames"], _MODERATED,
-        """select t_us - t_us % 60000000 as from_us, coalesce(reject_reason, 'accepted') as reason, count(*) as frames from moderated group by all""",
+        ["frames", "consumers"], *_CHECKED,
+        """select t_us - t_us % 60000000 as from_us, coalesce(reject_reason, 'accepted') as reason, count(*) as frames from checked group by all""",
+        recursive=True,
     ),
 }
 

@@ -633,8 +633,10 @@ def stream_echo(t):
 
 @query
 def stream_metrics(t):
-    end = {"conn_id": -1, "frame_no": 0, "room_id": "end", "user_id": "end", "t_us": END_US, "payload": ""}
-    return _run(t, streams.stream_metrics(_stream(t, t.frames, **end), WORDS))
+    end = {"conn_id": -1, "frame_no": 0, "room_id": "end", "user_id": "end", "t_us": END_US, "payload": "", "instance_id": -1}
+    frames, consumers = _stream(t, t.frames, "conn_id div 40", **end), _stream(t, t.consumers, "event_id div 40")
+    counted = streams.stream_metrics(frames, consumers, WORDS, FLOW_RATE, FLOW_BURST)
+    return _run(t, counted)
 
 
 @query
