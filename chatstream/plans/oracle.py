@@ -122,7 +122,7 @@ _DELIVERIES = f"""deliveries as (
   select m.*, i.user_id as member_id from numbered m join intervals i on {_PRESENT}
 )"""
 _MISSED = """missed as (
-  select * from deliveries where (event_id + cast(split_part(member_id, '-', 2) as bigint)) % 17 = 0
+  select * from deliveries d where not exists (select 1 from receipts r where r.event_id = d.event_id and r.member_id = d.member_id)
 )"""
 _ROOMS = ["membership_log", "messages"]
 _REVISIONS = """revisions as (
@@ -297,9 +297,9 @@ from ordered o join bucket b on b.user_id = o.user_id and b.rn = o.rn
     "room_sequence": _with(_ROOMS, _INTERVALS, _NUMBERED, "select event_id, room_id, off, sequence from numbered"),
     "room_sequence_bucketed": _with(["messages"], "select event_id, room_id, off, row_number() over (partition by room_id order by off) as sequence from messages"),
     "fanout": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, "select event_id, room_id, sequence, content, member_id from deliveries"),
-    "missed_deliveries": _with(_ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, _MISSED, "select event_id, sequence, member_id from missed"),
+    "missed_deliveries": _with([*_ROOMS, "receipts"], _INTERVALS, _NUMBERED, _DELIVERIES, _MISSED, "select event_id, sequence, member_id from missed"),
     "dropped_clients": _with(
-        _ROOMS, _INTERVALS, _NUMBERED, _DELIVERIES, _MISSED, "select event_id, count(*) as dropped_clients from missed group by event_id"
+        [*_ROOMS, "receipts"], _INTERVALS, _NUMBERED, _DELIVERIES, _MISSED, "select event_id, count(*) as dropped_clients from missed group by event_id"
     ),
     "order_violations": _with(
         ["arrivals"],
@@ -438,7 +438,7 @@ _STATE = """states as (
     count(*) filter (kind = 'restart') as restarts from consumer_log group by instance_id
 )"""
 ORACLE["metrics_scrape"] = _with(
-    ["frames", "consumers", "timings", "membership_log", "messages", "consumer_log"],
+    ["frames", "consumers", "timings", "membership_log", "messages", "consumer_log", "receipts"],
     *_CHECKED, _COUNTERS, _HISTOGRAM, _INTERVALS, _CHANGES, _NUMBERED, _DELIVERIES, _MISSED, _STATE,
     """select metric, labels, cast(value as double) as value from (
   select metric, labels, cast(value as double) as value from counters union all select metric, labels, cast(value as double) from samples

@@ -148,6 +148,9 @@ select event_id, @US(ts) as t_us, 'room-' || cast(user_id % 10 as @STR) as room_
   'user-' || cast(user_id as @STR) as user_id,
   case event_type when 'signup' then 'join' else 'leave' end as kind
 from @T(events) where event_type in ('signup', 'error')""",
+    "receipts": """
+select e.event_id, 'user-' || cast((e.user_id + e.event_id) % 10 + 10 * p.part as @STR) as member_id
+from @T(events) e @PARTS where e.event_type in ('click', 'view', 'purchase') and (e.event_id + p.part) % 17 <> 0""",
     "arrivals": """
 select event_id, 'room-' || cast((user_id + event_id) % 10 as @STR) as room_id, event_id as off,
   @US(ts) + cast(floor(value * 60000000) as bigint) as t_us

@@ -58,17 +58,32 @@ def build_session(app: str = "chatstream", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder every executor can reach, under ``spark.checkpoint.dir``.
+    """A new folder every executor can reach, under ``spark.checkpoint.dir``; it goes when the application ends.
 
     Only a local session without that setting falls back to the machine's own
     temporary folder; a cluster session without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="chatstream-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"{_run_folder(spark, root)}/{purpose}-{uuid.uuid4().hex}"
+
+
+#: The folder of each application under each root.
+_RUN_FOLDERS: dict[tuple[str, str | None], str] = {}
+
+
+def _run_folder(spark: SparkSession, root: str | None) -> str:
+    """One folder for all that an application stores; it goes when the driver's JVM ends."""
+    run = (spark.sparkContext.applicationId, root)
+    if run not in _RUN_FOLDERS:
+        root = root or tempfile.mkdtemp(prefix="chatstream-")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/chatstream-{run[0]}")
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _RUN_FOLDERS[run] = folder.toString()
+    return _RUN_FOLDERS[run]
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
