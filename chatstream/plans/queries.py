@@ -494,14 +494,17 @@ TEN_DAYS = "cast(date_diff(timestamp_micros(t_us), timestamp'2024-01-01') div 10
 LATE_BATCH = f"least(3, {TEN_DAYS} + if(event_id % 13 = 0, 1, 0))"
 
 
-def _stream(t: Tables, rows: DataFrame, batches: str | None = None, **last) -> DataFrame:
+def _stream(t: Tables, rows: DataFrame, batches: str | None = None, parts: int | None = None, **last) -> DataFrame:
     """Rows stored as a folder and read as a stream, closed by one late row of its own key.
 
-    With ``batches``, an expression, the rows come in as many micro-batches as it has values, in their order.
+    With ``batches``, an expression, the rows come in as many micro-batches as it has values, in their order; with
+    ``parts``, how many they are at most, in any order.
     """
     path = shared_dir(t.spark, "input")
     if batches is None:
         rows.write.parquet(path)
+    elif parts:
+        rows.repartitionById(parts, F.expr(batches).cast("int")).write.parquet(path)
     else:
         held = stored(rows.withColumn("_batch", F.expr(batches)), "batches")
         for batch in sorted(r[0] for r in held.select("_batch").distinct().collect()):
@@ -542,7 +545,7 @@ def stream_ingest(t):
 @query
 def stream_resume(t):
     """The log in four bounded batches; the handler of the second fails, and the query resumes from its checkpoint."""
-    log = _stream(t, t.bus_log, "off % 4", topic="end", part=0, off=-1, value="")
+    log = _stream(t, t.bus_log, "off % 4", 4, topic="end", part=0, off=-1, value="")
     records, handled, checkpoint = (shared_dir(t.spark, purpose) for purpose in ("records", "handled", "checkpoint"))
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
@@ -578,9 +581,9 @@ def stream_late(t):
 
 @query
 def stream_sequence(t):
-    """Log records in five batches that leave gaps for each other to fill."""
+    """Log records in three batches that leave gaps for each other to fill."""
     log = _arrived(t).withColumn("audience", F.lit(1).cast("bigint"))
-    return _run(t, streams.stream_sequence(_stream(t, log, "event_id * 31 % 5"))).select("room_id", "event_id", "sequence")
+    return _run(t, streams.stream_sequence(_stream(t, log, "off % 3", 3))).select("room_id", "event_id", "sequence")
 
 
 @query
@@ -588,7 +591,7 @@ def stream_rooms(t):
     """Join/leave log and message log to numbered deliveries, in three streams that hand over files."""
     timeline = _timeline(t, TEN_DAYS)
     messages, stays = timeline.where(F.col("member_id").isNull()), timeline.where(F.col("member_id").isNotNull())
-    numbered = _run(t, streams.stream_sequence(_stream(t, messages.where("event_id >= 0"), "off % 3")))
+    numbered = _run(t, streams.stream_sequence(_stream(t, messages.where("event_id >= 0"), "off % 3", 3)))
     delivered = streams.stream_deliveries(_stream(t, numbered), _stream(t, stays), delay=DISORDER)
     return _run(t, delivered).select("room_id", "event_id", "sequence", "content", "member_id")
 
