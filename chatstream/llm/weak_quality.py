@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers look at a document and vote for bad, good or nothing; the rows of ``labels`` are one more
 labeller, which is silent on most documents. For toxicity one labeller knows fixed words of abuse, another learns words
-from all labelled documents (how many toxic and how many clean ones hold them), so abuse in words that no list holds is
+from labelled documents (how many toxic and how many clean ones hold them), so abuse in words that no list holds is
 met too. Expectation-maximisation estimates from the votes of all documents how often each labeller, where it votes, says
 what for good and for bad documents (labellers are independent given the class), separately for low quality and for
 toxicity. The posterior of each pattern of votes labels a bounded sample, on which a hashed linear scorer is trained. The
@@ -72,6 +72,8 @@ QUALITY = [
 ]
 #: A word is learned if so many toxic documents hold it and it is so much more frequent there than in clean ones (natural logarithm).
 LEARNED_LEAST, LEARNED_ODDS = 5, 2.5
+#: Labelled documents to learn from, about so many toxic ones and so many clean ones, by a hash of doc_id.
+LEARN_DOCUMENTS = 10_000
 #: Learned words at most, those in the most toxic documents; and what they must add up to for a vote.
 LEARNED_WORDS, LEARNED_VOTE = 4096, 6.0
 #: Labellers of toxicity: fixed words, then learned ones.
@@ -90,9 +92,10 @@ def distinct_words(text: str) -> set[str]:
 
 
 def learned_words(documents: DataFrame, toxic: DataFrame | None) -> dict[str, float]:
-    """Words that speak for toxicity and their log odds, from all labelled documents (``toxic``: doc_id, t of + or -).
+    """Words that speak for toxicity and their log odds, from labelled documents (``toxic``: doc_id, t of + or -).
 
-    Without labels (None) documents with two words of abuse stand in for toxic ones and those without for clean ones.
+    A bounded sample of the labels is taken to the documents, so no text is shuffled. Without labels (None) all documents
+    with two words of abuse stand in for toxic ones and those without for clean ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +109,13 @@ def learned_words(documents: DataFrame, toxic: DataFrame | None) -> dict[str, fl
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in (0, 1))], names=["word", "clean", "toxic"])
 
     labelled = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = labelled.withColumn("t", F.lit(None).cast("string")) if toxic is None else labelled.join(toxic.filter("t <> '0'"), "doc_id")
+    if toxic is None:
+        labelled = labelled.withColumn("t", F.lit(None).cast("string"))
+    else:
+        sizes = {r.t: r["count"] for r in toxic.filter("t <> '0'").groupBy("t").count().collect()}
+        limit = F.create_map(*[F.lit(x) for t, n in sizes.items() for x in (t, min(2**63 - 1, int(min(1.0, LEARN_DOCUMENTS / n) * 2**64) - 2**63))])
+        chosen = toxic.filter("t <> '0'").filter(F.xxhash64(F.lit("learn"), "doc_id") <= limit[F.col("t")])
+        labelled = labelled.join(F.broadcast(chosen), "doc_id")
     counts = labelled.select("text", "t").mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = stored(counts.filter(f"toxic >= {LEARNED_LEAST} or word = ''"), "words")
     all_ = counts.filter("word = ''").first()  # the empty word is in every document
