@@ -70,8 +70,9 @@ QUALITY = [
     lambda m: 1 if m["lines"] > 0.4 else 0,
     lambda m: 0 if m["words"] < 20 else 1 if not 3 < m["length"] < 8 else -1,
 ]
-#: A word is learned if so many toxic documents hold it and it is so much more frequent there than in clean ones (natural logarithm).
-LEARNED_LEAST, LEARNED_ODDS = 5, 2.5
+#: A word is learned if so many toxic documents hold it, this share of them too, and it is so much more frequent there than
+#: in clean ones (natural logarithm). Rare words of the corpus are many, and some meet toxic documents alone by chance.
+LEARNED_LEAST, LEARNED_SHARE, LEARNED_ODDS = 5, 0.02, 2.5
 #: Labelled documents to learn from, about so many toxic ones and so many clean ones, by a hash of doc_id.
 LEARN_DOCUMENTS = 10_000
 #: Learned words at most, those in the most toxic documents; and what they must add up to for a vote.
@@ -122,7 +123,7 @@ def learned_words(documents: DataFrame, toxic: DataFrame | None) -> dict[str, fl
     if all_ is None:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (all_.toxic + 1)) - F.log((F.col("clean") + 0.5) / (all_.clean + 1))
-    best = counts.filter("word <> ''").withColumn("odds", odds).filter(F.col("odds") >= LEARNED_ODDS).orderBy(F.col("toxic").desc(), "word").limit(LEARNED_WORDS)
+    best = counts.filter("word <> ''").withColumn("odds", odds).filter((F.col("odds") >= LEARNED_ODDS) & (F.col("toxic") >= LEARNED_SHARE * all_.toxic)).orderBy(F.col("toxic").desc(), "word").limit(LEARNED_WORDS)
     return {r.word: r.odds for r in best.collect()}
 
 
