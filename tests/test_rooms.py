@@ -104,3 +104,22 @@ def test_stays_of_decades_cost_only_the_slices_with_messages(spark):
     want = sorted((i, f"u{k}") for i, t in enumerate([5, 6, year, 49 * year - 1, 49 * year, 50 * year, 50 * year + 1])
                   for k in range(6) if k % 2 == i % 2 and (k % 3 or t < 49 * year))
     assert got == want
+
+
+@pytest.mark.parametrize("receipts", [1, 64])
+def test_missed_deliveries_are_found_inside_the_fan_out(spark, rows, busy, monkeypatch, receipts):
+    """The deliveries are never shuffled: what was received comes with the messages."""
+    monkeypatch.setattr(rooms, "RECEIPTS", receipts)
+    moves, said = busy
+    intervals = rooms.membership_intervals(spark.createDataFrame(moves, LOG))
+    # one event_id for two messages and one without
+    numbered = rooms.room_sequence(spark.createDataFrame([(1000 if i == 1001 else None if i == 1002 else i, *rest) for i, *rest in said], MESSAGES))
+    rng = random.Random(3)
+    got = [(rng.choice([1000, 1000, None, *range(1000, 1300)]), rng.choice([None, *(f"u{k}" for k in range(6))])) for _ in range(1500)]
+    received = spark.createDataFrame(got, "event_id long, member_id string")
+    columns = ["event_id", "room_id", "sequence", "member_id"]
+    want = rooms.missed_deliveries(rooms.fanout(numbered, intervals, 100), received).select(*columns)
+    missed = rooms.missed_deliveries(numbered, received, intervals, 100).select(*columns)
+    assert rows(missed) == rows(want) and 0 < missed.count() < rooms.fanout(numbered, intervals, 100).count()
+    plan = rooms.dropped_clients(missed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
