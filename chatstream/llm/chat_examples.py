@@ -72,21 +72,31 @@ def with_texts(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text as they were before formatting) and trained (texts under the loss mask), from the output."""
+    """conv_id, formatted and turns (role and text as they were before formatting), from the output."""
     pieces = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
     body = F.transform(pieces, lambda p: F.substr(p, F.lit(len(OPEN) + 1)))
     turns = F.transform(body, lambda b: F.struct(
         _unescape_role(F.substring_index(b, "\n", 1)).alias("role"),
         unescape(F.substr(b, F.char_length(F.substring_index(b, "\n", 1)) + 2)).alias("text")))
-    trained = F.transform("targets", lambda t: unescape(F.substr(F.col("formatted"), (t["start"] + 1).cast("int"), (t["end"] - t["start"]).cast("int"))))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), trained.alias("trained"))
+    return formatted.select("conv_id", "formatted", turns.alias("turns"))
 
 
 def formatted_digest(conversations: DataFrame) -> DataFrame:
-    """Per conversation what the formatted output holds: turns, texts under the loss mask, length."""
+    """Per conversation what the formatted output and its examples hold: turns, targets under the loss mask, length.
+
+    Turns are read back from the formatted text, the loss text is put together from the targets of the examples. Both
+    become digests where they are made, so nothing but digests is brought together.
+    """
+    formatted = format_conversations(conversations)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("trained", "")
-    return read_back(format_conversations(conversations)).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"))
+    turns = read_back(formatted).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    target = F.struct("example", unescape(F.col("target")).alias("text"))
+    trained = with_texts(formatted).groupBy("conv_id").agg(F.array_sort(F.collect_list(target)).alias("trained"))
+    loss = F.array_join(F.transform("trained", lambda t: t["text"]), "")
+    targets = trained.select("conv_id", F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"))
+    both = turns.unionByName(targets, allowMissingColumns=True).groupBy("conv_id")
+    return both.agg(
+        F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"),
+        F.coalesce(F.max("loss_chars"), F.lit(0)).alias("loss_chars"), F.coalesce(F.max("loss_sha256"), F.sha2(F.lit(""), 256)).alias("loss_sha256"),
+        F.max("formatted_chars").alias("formatted_chars"))

@@ -49,6 +49,14 @@ def test_every_assistant_turn_is_an_example_with_what_precedes_it(spark):
     assert chat_examples.formatted_digest(frame.limit(0)).count() == 0
 
 
+def test_the_loss_text_comes_from_the_examples(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a<"), (1, 2, "assistant", "b"), (None, 0, "assistant", "x"), (2, 0, "user", "r")], "conv_id long, turn long, role string, text string")
+    made = chat_examples.with_texts
+    monkeypatch.setattr(chat_examples, "with_texts", lambda formatted: made(formatted).withColumn("target", F.concat("example", "target")))
+    found = {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256) for r in chat_examples.formatted_digest(frame).collect()}
+    assert found == {1: (3, 5, sha("0a<1b")), None: (1, 2, sha("0x")), 2: (1, 0, sha(""))}
+
+
 # --- pieces
 
 
