@@ -20,7 +20,7 @@ from chatstream.llm.components import components, linked_components
 
 BANDS, ROWS = 32, 4
 #: Bytes of text that are cut into words together, unless one text is longer.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Standard deviations that a signature's estimate may lie below the threshold before a pair is given up.
 SLACK = 4.5
 

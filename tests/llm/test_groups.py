@@ -317,3 +317,22 @@ def test_loser_tree_merges_any_number_of_runs():
     for k in range(8):
         runs = [sorted((rnd.randrange(20), r) for _ in range(rnd.randrange(6))) for r in range(k)]
         assert list(warc.merge_runs([[(x,) for x in r] for r in runs])) == sorted((x,) for r in runs for x in r)
+
+
+def test_a_slice_of_texts_is_cut_into_shingles_in_little_memory():
+    """Each Python worker of an executor holds one at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    words = [f"word{k * 7919 % 4001}" for k in range(4001)]
+    text = " ".join(words[:120])
+    column = pa.array([text] * (6_000_000 // len(text)))
+    tracemalloc.start()
+    try:
+        _, first = next(minhash.slices(column))
+        minhash.shingle_sets(first, 5)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
