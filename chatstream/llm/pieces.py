@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from chatstream.llm.common import once, text_or_empty
 
 MARK = "▁"
-#: Code points that are encoded together, unless one text is longer.
-SLICE_CHARS = 4_000_000
+#: Code points that are encoded together, unless one text is longer; a worker holds about 45 bytes for each.
+SLICE_CHARS = 500_000
 #: Longer segments get a heap instead of a row.
 ROW_LENGTH = 128
 NONE = np.int32(2**31 - 1)
@@ -273,20 +273,24 @@ def encode_documents(documents: DataFrame, model_path: str, *, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for batch in batches:
-            column, start = batch.column(where), 0
-            sizes = pa.compute.fill_null(pa.compute.utf8_length(column), 0).to_pylist()
-            while start < len(sizes):
-                end, total = start + 1, sizes[start]
-                while end < len(sizes) and total + sizes[end] <= SLICE_CHARS:
-                    total += sizes[end]
-                    end += 1
-                part = batch.slice(start, end - start)
+            for part in slices(batch, where):
                 yield pa.RecordBatch.from_arrays([*part.columns, *_encoded(pieces, [t or "" for t in part.column(where).to_pylist()], with_ids)], names=schema.names)
-                start = end
 
     return kept.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, where: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices with up to ``SLICE_CHARS`` code points in the column ``where``, or one longer text."""
+    sizes, start = pa.compute.fill_null(pa.compute.utf8_length(batch.column(where)), 0).to_pylist(), 0
+    while start < len(sizes):
+        end, total = start + 1, sizes[start]
+        while end < len(sizes) and total + sizes[end] <= SLICE_CHARS:
+            total += sizes[end]
+            end += 1
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _encoded(pieces: Pieces, texts: list[str], with_ids: bool) -> list[pa.Array]:
     ids, _, numbers = pieces.encode_slice(texts)
     counts = np.array([len(x) for x in ids], np.int64)

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,23 @@ def test_encoded_documents(spark, vocabulary):
     assert pieces.encoded_digest(frame.limit(0), tokenizer_path()).count() == 0
 
 
+def test_a_batch_of_texts_is_encoded_in_little_memory(vocabulary):
+    """Each Python worker of an executor holds one slice at a time."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("aeinorst", k=rnd.randint(2, 9))) for _ in range(20_000)]
+    texts = [None, *(" ".join(rnd.choices(words, k=300)) for _ in range(1_500))]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    done = 0
+    tracemalloc.start()
+    try:
+        for part in pieces.slices(batch, 1):
+            counts, *_ = pieces._encoded(vocabulary, [t or "" for t in part.column(1).to_pylist()], True)
+            done += len(counts)
+        assert done == len(texts) and tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
