@@ -1,16 +1,19 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages of one host are looked at in blocks. A page is read as a row of tokens: opening tags and text blocks, each told
-apart by the path of elements it stands in. Tokens that occur equally often on each page of the block (equal occurrence
-vectors) form an equivalence class. A class is valid when its tokens come in the same order in each of its rounds on
-every page; valid classes nest: a class lies in the slot of another when all its rounds stay between the same two
-tokens of that one's rounds. Together they are the block's template. What is not template are slots, and the element
-whose slots hold most of the text that differs from page to page, and is not in links, is the main element. Pages that
-mark their article (article, main, articleBody) need no guess: there the marked element is the main one.
+Pages of one host are looked at in blocks. A page is read as a row of tokens in page order: opening tags and text blocks,
+each told apart by the path of elements it stands in. Tokens that occur equally often on each page of the block (equal
+occurrence vectors) form an equivalence class. A class is valid when its tokens come in the same order in each of its
+rounds on every page, and when valid classes nest: a class lies in one slot of another, between the same two tokens of
+that one's rounds. A token that lies in several slots of a class is told apart by them, and the classes are formed anew,
+until no token is. Together the valid classes are the block's template, and what is not in one is the text in its slots.
+
+The main element is the one that a page marks (article, main, articleBody); without a mark the element whose slots hold
+most of the text that differs from page to page and is not in links. Of it the text in slots is the main text: what the
+template repeats goes, in marked articles too. There pages that share most of their text count once, as versions of an
+article say nothing about what the site repeats.
 
 Within the main element, elements that are not article text (menus, forms, notices, adverts, sidebars, reader comments,
-scripts, styles) go by their tag, role, class or id; outside a marked article, blocks of text that the template repeats
-on nearly all pages go too. Blocks follow in page order.
+scripts, styles) go by their tag, role, class or id too. Blocks follow in page order.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +77,13 @@ class Paths:
 
 
 class Block:
-    """A run of text without a block boundary: its element path, the text, how much of it is in links."""
+    """A run of text without a block boundary: its element path, the text, how much of it is in links, the tags before it."""
 
-    __slots__ = ("dropped", "heading", "linked", "marked", "path", "pieces", "text")
+    __slots__ = ("before", "dropped", "heading", "linked", "marked", "path", "pieces", "repeated", "text")
 
-    def __init__(self, path: int, dropped: bool, marked: bool, heading: bool):
-        self.path, self.dropped, self.marked, self.heading, self.pieces, self.linked, self.text = path, dropped, marked, heading, [], 0, ""
+    def __init__(self, path: int, dropped: bool, marked: bool, heading: bool, before: int):
+        self.path, self.dropped, self.marked, self.heading, self.before = path, dropped, marked, heading, before
+        self.pieces, self.linked, self.text, self.repeated = [], 0, "", False
 
 
 class Element(NamedTuple):
@@ -128,7 +134,7 @@ def read_page(page: str, paths: Paths) -> tuple[list[int], list[Block]]:
             if not raw.strip():
                 return
             _, path, dropped, marked, heading, header = stack[-1]
-            now = Block(path, dropped or (header and not (heading and marked)), marked, heading)
+            now = Block(path, dropped or (header and not (heading and marked)), marked, heading, len(tokens))
             blocks.append(now)
         now.pieces.append(raw)
         if links:
@@ -208,33 +214,135 @@ CLOSES = {
 }
 
 
-def equivalence_classes(pages: list[list[Token]]) -> list[list[Token]]:
-    """Valid classes of tokens with equal occurrence vectors, outermost first.
-
-    A class counts when it is on at least SUPPORT of the pages. Its tokens are listed in the order of a round.
+class Role(NamedTuple):
+    """A token in one of the places that it has in a template, where it has several."""
+
+    token: Token
+    number: int
+
+
+def _places(order: np.ndarray, page_of: np.ndarray, role: np.ndarray, roles: int) -> np.ndarray:
+    """Number of the token of the class ``order`` that each token follows inside a round; -1 outside of all rounds."""
+    index = np.full(roles, -1)
+    index[order] = np.arange(len(order))
+    own = index[role]
+    last = np.maximum.accumulate(np.where(own >= 0, np.arange(len(role)), -1))
+    found = np.where((last >= 0) & (page_of[last] == page_of), own[last], -1)
+    return np.where(found == len(order) - 1, -1, found)
+
+
+def _span(values: np.ndarray, role: np.ndarray, roles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of each token."""
+    low, high = np.full(roles, 1 << 30), np.full(roles, -2)
+    np.minimum.at(low, role, values)
+    np.maximum.at(high, role, values)
+    return low, high
+
+
+def _in_order(tokens: np.ndarray, rounds: np.ndarray, page_of: np.ndarray, role: np.ndarray, roles: int) -> np.ndarray | None:
+    """Tokens in the order of a round. None if rounds differ, save that of tokens found once a page those stay that agree."""
+    if len(tokens) == 1:
+        return tokens
+    member = np.zeros(roles, bool)
+    member[tokens] = True
+    at = np.flatnonzero(member[role])
+    own, pages = role[at], page_of[at]
+    order = own[:len(tokens)]
+    if np.array_equal(own, np.tile(order, int(rounds.sum()))):
+        return order
+    if rounds.max() > 1:
+        return None
+    agreed = order.tolist()
+    for page in np.split(own, np.flatnonzero(np.diff(pages)) + 1):
+        rank = {t: k for k, t in enumerate(agreed)}
+        # the longest run of tokens that come in the same order on this page
+        ends: list[int] = []
+        tails: list[tuple] = []
+        for t in page.tolist():
+            if t in rank:
+                k = bisect_left(ends, rank[t])
+                chain = (t, tails[k - 1] if k else None)
+                ends[k:k + 1], tails[k:k + 1] = [rank[t]], [chain]
+        chain, agreed = tails[-1], []
+        while chain:
+            agreed.append(chain[0])
+            chain = chain[1]
+        agreed.reverse()
+    return np.array(agreed) if len(agreed) > 1 else None
+
+
+def deduced(pages: list[list[Token]], counted: list[bool]) -> tuple[list[list[Token]], list[list[bool]]]:
+    """Valid classes of tokens with equal occurrence vectors, outermost first, and which tokens of each page are in one.
+
+    Vectors and order are those of the counted pages; a class is on at least SUPPORT of them. Classes are taken from the
+    outermost on. Tokens of one vector that lie in different slots of a class taken before are classes of their own; a
+    token that lies in several slots is told apart by them, and all begins anew with these roles, until none is left. A
+    class is dropped when its rounds differ in their order, or a class taken before does not stay in one of its slots.
     """
-    vectors: dict[Token, list[int]] = defaultdict(lambda: [0] * len(pages))
-    for k, page in enumerate(pages):
-        for token, n in Counter(page).items():
-            vectors[token][k] = n
-    classes: dict[tuple[int, ...], set[Token]] = defaultdict(set)
-    for token, vector in vectors.items():
-        if sum(map(bool, vector)) >= SUPPORT * len(pages):
-            classes[tuple(vector)].add(token)
-    valid = []
-    for vector, tokens in sorted(classes.items()):
-        order: list[Token] | None = None
-        for page, rounds in zip(pages, vector, strict=True):
-            if not rounds:
-                continue
-            own = [t for t in page if t in tokens]
-            order = order or own[:len(tokens)]
-            if own != order * rounds:
-                order = None
-                break
-        if order:
-            valid.append(order)
-    return valid
+    often = Counter(t for page, c in zip(pages, counted, strict=True) if c for t in dict.fromkeys(page))
+    names: list[Token] = [t for t, k in often.items() if k >= SUPPORT * sum(counted)]
+    inside = [[False] * len(page) for page in pages]
+    if not names:
+        return [], inside
+    number = {t: k for k, t in enumerate(names)}
+    found = [(k, i, number[t]) for k, page in enumerate(pages) for i, t in enumerate(page) if t in number]
+    all_pages, column, all_roles = (x.copy() for x in np.array(found, np.int64).reshape(-1, 3).T)
+    counts = np.array(counted)[all_pages]
+    width = np.cumsum(counted) - 1
+    while True:
+        roles, role, page_of = len(names), all_roles[counts], all_pages[counts]
+        vectors = np.bincount(width[page_of] * roles + role, minlength=sum(counted) * roles).reshape(-1, roles)
+        frequent = np.flatnonzero((vectors > 0).sum(0) >= SUPPORT * sum(counted))
+        alike: dict[bytes, list[int]] = defaultdict(list)
+        for t in frequent.tolist():
+            alike[vectors[:, t].tobytes()].append(t)
+        waiting = sorted(alike.values(), key=lambda c: (vectors[:, c[0]].sum(), -len(c), c))
+        classes: list[np.ndarray] = []
+        taken = np.zeros(roles, bool)
+        slots: list[tuple[np.ndarray, np.ndarray]] = []
+        several = None
+        while waiting and several is None:
+            parts: dict[tuple[int, ...], list[int]] = defaultdict(list)
+            for t in waiting.pop(0):
+                parts[tuple(int(low[t]) for low, _ in slots)].append(t)
+            for part in parts.values():
+                rounds = vectors[:, part[0]]
+                order = _in_order(np.array(part), rounds, page_of, role, roles)
+                if order is None:
+                    continue
+                if len(order) > 1:
+                    on = rounds[width[page_of]] > 0
+                    where = _places(order, page_of, role, roles)
+                    low, high = _span(where[on], role[on], roles)
+                    if any(low[c].min() != high[c].max() and high[c].max() >= 0 for c in classes):
+                        continue
+                    mixed = (low < high) & ~taken
+                    mixed[order] = False
+                    mixed[np.setdiff1d(np.arange(roles), frequent)] = False
+                    if mixed.any():
+                        several = order, mixed
+                        break
+                    slots.append((low, high))
+                classes.append(order)
+                taken[order] = True
+        if several is None:
+            break
+        order, mixed = several
+        which = np.flatnonzero(mixed[all_roles])
+        where = _places(order, all_pages, all_roles, roles)[which]
+        keys, new = np.unique(all_roles[which] * (len(order) + 1) + where + 1, return_inverse=True)
+        for k, key in enumerate(keys.tolist()):
+            token = names[key // (len(order) + 1)]
+            names.append(Role(token.token if isinstance(token, Role) else token, roles + k))
+        all_roles[which] = roles + new
+    for k, i in zip(all_pages[taken[all_roles]].tolist(), column[taken[all_roles]].tolist(), strict=True):
+        inside[k][i] = True
+    return [[names[t] for t in c.tolist()] for c in classes], inside
+
+
+def equivalence_classes(pages: list[list[Token]]) -> list[list[Token]]:
+    """The classes of ``deduced``, each in the order of a round, with a Role for a token that has several."""
+    return deduced(pages, [True] * len(pages))[0]
 
 
 def nested(classes: list[list[Token]], pages: list[list[Token]]) -> dict[int, int]:
@@ -261,22 +369,49 @@ def nested(classes: list[list[Token]], pages: list[list[Token]]) -> dict[int, in
     return home
 
 
+def _versions(texts: list[str]) -> list[bool]:
+    """Which texts share less than half of their runs of five words with each text kept before: the shorter one's runs."""
+    kept: list[set[int]] = []
+    first = []
+    for text in texts:
+        words = text.split()
+        runs = {hash(tuple(words[k:k + 5])) for k in range(max(1, len(words) - 4))}
+        first.append(all(2 * len(runs & other) < min(len(runs), len(other)) for other in kept))
+        if first[-1]:
+            kept.append(runs)
+    return first
+
+
 class Template:
-    """The template of a block of pages: its repeated text blocks and its main element."""
+    """The template of a block of pages: its classes, its repeated text blocks and its main element."""
 
     def __init__(self, read: list[tuple[list[int], list[Block]]], paths: Paths):
-        self.repeated: set[tuple[int, str]] = set()
         # copies of a page say nothing about what the site repeats
-        different = {hashlib.sha1("\n".join(b.text for b in blocks if not b.dropped).encode()).digest(): (tokens, blocks) for tokens, blocks in read}
-        rows: list[list[Token]] = [[*tokens, *((b.path, b.text) for b in blocks)] for tokens, blocks in different.values()]
-        self.classes = equivalence_classes(rows) if len(rows) > 2 else []
-        constant = {t for c in self.classes for t in c}
+        seen: set[bytes] = set()
+        counted = []
+        for _, blocks in read:
+            digest = hashlib.sha1("\n".join(b.text for b in blocks if not b.dropped).encode()).digest()
+            counted.append(digest not in seen)
+            seen.add(digest)
+        rows = [in_page_order(tokens, blocks) for tokens, blocks in read]
+        self.classes: list[list[Token]] = []
+        self._deduce(read, rows, counted)
+        if any(b.repeated and b.marked and not b.dropped for _, blocks in read for b in blocks):
+            # neither do versions of one article, of which parts are equal
+            other = iter(_versions([" ".join(b.text for b in blocks if b.marked and not b.dropped) for (_, blocks), c in zip(read, counted, strict=True) if c]))
+            apart = [c and next(other) for c in counted]
+            if apart != counted:
+                kept = [[b.repeated and not b.marked for b in blocks] for _, blocks in read]
+                classes = self.classes
+                self._deduce(read, rows, apart)
+                self.classes = classes
+                for (_, blocks), old in zip(read, kept, strict=True):
+                    for b, o in zip(blocks, old, strict=True):
+                        b.repeated = b.repeated if b.marked else o
         mass = [0] * len(paths.parent)
-        for _, blocks in different.values():
+        for (_, blocks), c in zip(read, counted, strict=True):
             for b in blocks:
-                if (b.path, b.text) in constant:
-                    self.repeated.add((b.path, b.text))
-                elif not b.dropped:
+                if c and not b.repeated and not b.dropped:
                     mass[b.path] += max(0, len(b.text) - 2 * b.linked)
         for k in range(len(mass) - 1, 0, -1):
             mass[paths.parent[k]] += mass[k]
@@ -286,11 +421,31 @@ class Template:
         for k in range(len(mass)):
             self.inside[k] = k == main or k > 0 and self.inside[paths.parent[k]]
 
+    def _deduce(self, read: list[tuple[list[int], list[Block]]], rows: list[list[Token]], counted: list[bool]) -> None:
+        """Classes of the counted pages, and which text blocks of all pages are in one."""
+        found: list[list[bool]]
+        self.classes, found = deduced(rows, counted) if sum(counted) > 2 else ([], [[False] * len(r) for r in rows])
+        for (_, blocks), inside in zip(read, found, strict=True):
+            for k, b in enumerate(blocks):
+                b.repeated = inside[b.before + k]
+
     def extract(self, blocks: list[Block]) -> list[str]:
-        kept = [b for b in blocks if not b.dropped]
+        """Text in slots of the main element: the marked one, where there is a mark."""
+        kept = [b for b in blocks if not (b.dropped or b.repeated)]
         if any(b.marked for b in blocks):
             return [b.text for b in kept if b.marked]
-        return [b.text for b in kept if (self.inside[b.path] or b.heading) and (b.path, b.text) not in self.repeated]
+        return [b.text for b in kept if self.inside[b.path] or b.heading]
+
+
+def in_page_order(tokens: list[int], blocks: list[Block]) -> list[Token]:
+    """The tags and text blocks of a page as they come."""
+    out: list[Token] = []
+    at = 0
+    for b in blocks:
+        out += tokens[at:b.before]
+        out.append((b.path, b.text))
+        at = b.before
+    return out + tokens[at:]
 
 
 def extract_block(pages: list[str]) -> tuple[list[str], list[int]]:

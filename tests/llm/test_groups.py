@@ -292,6 +292,61 @@ def test_equivalence_classes_nest():
     assert html_templates.equivalence_classes([["a", "b"], ["b", "a"]]) == []
 
 
+def test_tokens_are_told_apart_by_their_slot():
+    """``p`` comes in two slots of the frame's class, once to four times and twice."""
+    pages = [["top", *["p"] * (k + 1), "ad", "p", "p", "end"] for k in range(4)]
+    assert html_templates.equivalence_classes(pages) == [["top", "ad", "end"], [html_templates.Role("p", 5)], [html_templates.Role("p", 4)]]
+    # tokens found equally often in different slots are no class; nor is a token whose order differs
+    pages = [["top", *["a"] * n, "mid", *["b"] * n, "end"] for n in (1, 2, 3)]
+    assert html_templates.equivalence_classes(pages) == [["top", "mid", "end"], ["a"], ["b"]]
+    assert html_templates.equivalence_classes([["top", "x", "mid", "end"], ["top", "mid", "end", "x"], ["top", "mid", "x", "end"]])[0] == ["top", "mid", "end"]
+
+
+def test_classes_nest_on_random_pages():
+    """Occurrence vectors, order and nesting of what is found, by brute force."""
+    rnd = random.Random(12)
+    for _ in range(200):
+        frame = rnd.sample("abcdefgh", 5)
+        pages = []
+        for _ in range(5):
+            page = []
+            for k, t in enumerate(frame):
+                page += [t, *["xy", "z", "w"][k % 3] * rnd.randrange(3), *rnd.choices("uv", k=rnd.randrange(2))]
+            pages.append(page)
+        classes, inside = html_templates.deduced(pages, [True] * 5)
+        assert [t for t in classes[0] if t in frame] == frame
+        plain = [c for c in classes if not any(isinstance(t, html_templates.Role) for t in c)]
+        homes = html_templates.nested(plain, pages)
+        assert plain != classes or all(homes[k] == 0 for k in range(1, len(plain)))
+        for c in plain:
+            vectors = {tuple(p.count(t) for p in pages) for t in c}
+            assert len(vectors) == 1 and sum(map(bool, *vectors)) == 5
+            assert all([t for t in p if t in c] == c * p.count(c[0]) for p in pages)
+        assert all(i for p, row in zip(pages, inside) for t, i in zip(p, row) if t in frame)
+
+
+def test_the_template_decides_inside_a_marked_article():
+    rnd = random.Random(13)
+    words = [a + b for a in ("ther", "onin", "edha", "stou", "whan") for b in ("ing", "tion", "ent", "ers", "able", "hat")]
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    html = "<html><body><article><h1>{}</h1><div class=k>Read this in our app</div><p>{}</p><p>{}</p><p>Tell your friends about us</p></article></body></html>"
+    said = [(f"Story {k}", say(30), say(20)) for k in range(20)]
+    texts, _ = html_templates.extract_block([html.format(*s) for s in said])
+    assert texts == ["\n".join(s) for s in said]
+    # the same words in another slot are the article's own
+    pages = [html.format(h, a, b).replace("</article>", "<div class=k>Read this in our app</div></article>" if k == 3 else "</article>") for k, (h, a, b) in enumerate(said)]
+    assert html_templates.extract_block(pages)[0][3].count("Read this in our app") == 1
+    # versions of one article repeat its text, not the template's
+    parts = [say(6) for _ in range(12)]
+    versions = [f"<article><h1>Versions</h1>{''.join(f'<p>{say(6) if j == k else p}</p>' for j, p in enumerate(parts))}</article>" for k in range(12)]
+    texts, _ = html_templates.extract_block(versions)
+    assert all(t.count("\n") == 12 and t.startswith("Versions") for t in texts)
+    # pages may have nothing in common, and two are too few to tell
+    assert html_templates.deduced([["a"], [], ["b"], ["c"]], [True] * 4) == ([], [[False], [], [False], [False]])
+    assert html_templates.extract_block(["", "a", "<p>b", "<div>c"])[0] == ["", "a", "b", "c"]
+    assert html_templates.extract_block([html.format(*s) for s in said[:2]])[0][0].count("\n") == 4
+
+
 def test_archives(spark):
     rows = [(i, f"http://www.Example.com:80/{i % 4}?q#f", f"<p>é {i % 7}\r\n\r\nWARC/1.1\r\n") for i in range(60)]
     rows += [(100, None, None), (101, "", ""), (102, "x\r\ny", "only"), (None, "http://a.b/", "twice"), (103, "http://a.b/", "twice"), (103, "http://a.b/", "twice"), (104, "http://a.b/", "z" * 200_000)]
