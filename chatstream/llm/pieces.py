@@ -26,6 +26,8 @@ from chatstream.llm.common import once, text_or_empty
 MARK = "▁"
 #: Code points that are encoded together, unless one text is longer; a worker holds about 45 bytes for each.
 SLICE_CHARS = 500_000
+#: The same where a job does nothing else: more memory for less time, as a slice's distinct segments are checked once.
+ALONE_SLICE_CHARS = 4_000_000
 #: Longer segments get a heap instead of a row.
 ROW_LENGTH = 128
 NONE = np.int32(2**31 - 1)
@@ -258,7 +260,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(documents: DataFrame, model_path: str, *, with_ids: bool = True) -> DataFrame:
+def encode_documents(documents: DataFrame, model_path: str, *, with_ids: bool = True, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Adds ``n_tokens``, ``ids`` (text of decimal ids, one space between), ``ids_sha256`` and ``decoded_sha256``.
 
     Ids end with the end id. Null and empty texts have that id alone and decode to an empty text. Rows are returned as
@@ -273,18 +275,18 @@ def encode_documents(documents: DataFrame, model_path: str, *, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for batch in batches:
-            for part in slices(batch, where):
+            for part in slices(batch, where, slice_chars):
                 yield pa.RecordBatch.from_arrays([*part.columns, *_encoded(pieces, [t or "" for t in part.column(where).to_pylist()], with_ids)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, where: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices with up to ``SLICE_CHARS`` code points in the column ``where``, or one longer text."""
+def slices(batch: pa.RecordBatch, where: int, slice_chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices with up to ``slice_chars`` code points in the column ``where``, or one longer text."""
     sizes, start = pa.compute.fill_null(pa.compute.utf8_length(batch.column(where)), 0).to_pylist(), 0
     while start < len(sizes):
         end, total = start + 1, sizes[start]
-        while end < len(sizes) and total + sizes[end] <= SLICE_CHARS:
+        while end < len(sizes) and total + sizes[end] <= slice_chars:
             total += sizes[end]
             end += 1
         yield batch.slice(start, end - start)
@@ -312,4 +314,4 @@ def _encoded(pieces: Pieces, texts: list[str], with_ids: bool) -> list[pa.Array]
 
 def encoded_digest(documents: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    return encode_documents(documents.select("doc_id", text_or_empty("text").alias("text")), model_path, with_ids=False).drop("text")
+    return encode_documents(documents.select("doc_id", text_or_empty("text").alias("text")), model_path, with_ids=False, slice_chars=ALONE_SLICE_CHARS).drop("text")
