@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chatstream.operators import rooms
 from chatstream.operators.ordered import HOT, Spread
-from chatstream.plans import flow
+from chatstream.plans import flow, queries
 
 LOG = "event_id long, t_us long, room_id string, user_id string, kind string"
 MESSAGES = "event_id long, t_us long, room_id string, user_id string, content string, off long"
@@ -148,3 +148,35 @@ def test_the_fan_out_has_as_many_tasks_as_a_shuffle(spark):
     delivered = rooms.fanout(said, stays)
     assert delivered.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert delivered.count() == sum(len(range(r, 300, 7)) ** 2 for r in range(7))
+
+
+@pytest.mark.parametrize("spread", [HOT, Spread(width_us=3), Spread(mode="hot", width_us=5, hot_share=0, hot_min_rows=0)])
+def test_missed_deliveries_are_counted_without_being_laid_out(spark, rows, spread):
+    """Ids that repeat or are missing, stays that overlap, hold nobody or end before they begin."""
+    rng = random.Random(9)
+    stays = [(rng.choice(["r", "s", None]), rng.choice([None, "u0", "u1", "u2", "u3"]), rng.choice([None, *range(12)]), k, rng.choice([None, *range(12)]), None) for k in range(120)]
+    said = [(rng.choice([None, *range(25)]), rng.choice([" r", "s ", None]), rng.choice([None, *range(12)]), i) for i in range(80)]
+    got = [(rng.choice([None, *range(25)]), rng.choice([None, "u0", "u1", "nobody"])) for _ in range(60)]
+    intervals = spark.createDataFrame(stays, "room_id string, user_id string, joined_at long, join_id long, left_at long, leave_id long")
+    numbered = spark.createDataFrame(said, "event_id long, room_id string, t_us long, sequence long")
+    received = spark.createDataFrame(got, "event_id long, member_id string")
+    want = rooms.dropped_clients(rooms.missed_deliveries(numbered, received, intervals, 5))
+    counted = rooms.dropped_clients(rooms.missed_deliveries(numbered, received, intervals, counted=spread))
+    assert counted.dtypes == want.dtypes
+    assert rows(counted) == rows(want) != rows(rooms.dropped_clients(rooms.fanout(numbered, intervals, 5)))
+
+
+def test_counting_costs_no_row_for_a_missed_delivery(spark):
+    """Forty thousand messages to forty thousand members, one of them told: laid out they would be 1.6 thousand million rows."""
+    n = 40_000
+    stays = spark.range(n).selectExpr("'r' AS room_id", "concat('u', id) AS user_id", "0L AS joined_at", "id AS join_id", "cast(null AS bigint) AS left_at", "cast(null AS bigint) AS leave_id")
+    said = spark.range(n).selectExpr("id AS event_id", "'r' AS room_id", "id * 1000000 AS t_us", "id AS sequence")
+    received = said.selectExpr("event_id", "'u7' AS member_id")
+    missed = rooms.missed_deliveries(said, received, stays, counted=Spread(width_us=1_000_000_000))
+    assert [tuple(r) for r in rooms.dropped_clients(missed).agg(F.count("*"), F.min("dropped_clients"), F.max("dropped_clients")).collect()] == [(n, n - 1, n - 1)]
+
+
+@pytest.mark.parametrize("name", ["dropped_clients"])
+def test_queries_that_count_missed_deliveries_make_none(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_there" in plan and "_piece" not in plan
