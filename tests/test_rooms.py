@@ -176,7 +176,7 @@ def test_counting_costs_no_row_for_a_missed_delivery(spark):
     assert [tuple(r) for r in rooms.dropped_clients(missed).agg(F.count("*"), F.min("dropped_clients"), F.max("dropped_clients")).collect()] == [(n, n - 1, n - 1)]
 
 
-@pytest.mark.parametrize("name", ["dropped_clients"])
+@pytest.mark.parametrize("name", ["dropped_clients", "metrics_scrape"])
 def test_queries_that_count_missed_deliveries_make_none(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_there" in plan and "_piece" not in plan
