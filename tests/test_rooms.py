@@ -180,3 +180,16 @@ def test_counting_costs_no_row_for_a_missed_delivery(spark):
 def test_queries_that_count_missed_deliveries_make_none(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_there" in plan and "_piece" not in plan
+
+
+def test_a_stay_is_laid_out_over_a_number_a_day_at_most(spark, monkeypatch):
+    """However short the slices are: an array of a number for each minute of fifty years takes a task's memory."""
+    widths = []
+    monkeypatch.setattr(rooms, "floor_div", lambda c, width, f=rooms.floor_div: widths.append(width) or f(c, width))
+    stays = spark.createDataFrame([("r", "u", 0, 1, None, None)], "room_id string, user_id string, joined_at long, join_id long, left_at long, leave_id long")
+    said = spark.createDataFrame([(1, "r", 5, 1), (2, "r", 50 * 31_557_600_000_000, 2)], "event_id long, room_id string, t_us long, sequence long")
+    for slice_us in (7, 1_000_000, 3_600_000_000):
+        widths.clear()
+        assert sorted(r.event_id for r in rooms.fanout(said, stays, slice_us).collect()) == [1, 2]
+        assert max(widths) >= 86_400_000_000
+        assert {b // a for a, b in zip(sorted({*widths}), sorted({*widths})[1:])} == {64}
